@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kervan.llm import pieces, sentences, tokens, unicode_form
+from kervan.llm import near_copies, pieces, sentences, tokens, unicode_form
 from kervan.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,38 @@ def p1_found(spark, d):
     return unicode_form.with_form(_named(spark, d), "value").filter("disguised").select("field", "row_id")
 
 
+COPY_FIELDS = ("chunk_text", "warnings", "common_side_effects")
+
+
+def _copy_texts(spark: SparkSession, d: str) -> DataFrame:
+    """gid (row id * 4 + place of the field in COPY_FIELDS) and consistent text of the three fields."""
+    c = read(spark, d, "document_chunks", "chunk_id", "chunk_text").select("chunk_id", body(F.col("chunk_text")).alias("chunk_text"))
+    m = fields(read(spark, d, "medicines", "medicine_id", "warnings", "common_side_effects"), "medicine_id", "warnings", "common_side_effects")
+    place = F.array_position(F.array(*map(F.lit, COPY_FIELDS)), F.col("field")) - 1
+    values = fields(c, "chunk_id", "chunk_text").unionByName(m)
+    return unicode_form.with_form(values.select((F.col("row_id") * 4 + place).alias("gid"), "value"), "value").select("gid", F.col("form").alias("text"))
+
+
+def _field(gid: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, COPY_FIELDS)), (F.col(gid) % 4 + 1).cast("int"))
+
+
+def _row(gid: str) -> Column:
+    return F.shiftright(gid, 2)
+
+
+def p2_found(spark, d):
+    """Pairs of texts that share at least half of their three-word sequences, copies included."""
+    pairs, members = near_copies.near_copies(_copy_texts(spark, d), 3, 0.5)
+    return near_copies.expand(pairs, members).select(_field("a").alias("field"), _row("a").alias("id_a"), _row("b").alias("id_b"))
+
+
+def p2_classes(spark, d):
+    """Every text with its class of near copies (five words, 0.8) and its number of links."""
+    pairs, members = near_copies.near_copies(_copy_texts(spark, d))
+    return near_copies.classes_of(pairs, members).select(_field("gid").alias("field"), _row("gid").alias("row_id"), _row("class_id").alias("class_id"), "n_links")
+
+
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     m = fields(read(spark, d, "medicines", "medicine_id", "dosage_information", "warnings"), "medicine_id", "dosage_information", "warnings")
     return m.unionByName(fields(read(spark, d, "document_chunks", "chunk_id", "chunk_text"), "chunk_id", "chunk_text"))
@@ -67,4 +99,4 @@ def p7_ids(spark, d):
     return tokens.encode_texts(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p4_found, p4_pieces, p6_found, p7_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_classes, p4_found, p4_pieces, p6_found, p7_ids)}
