@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kervan.llm import near_copies, pieces, sentences, tokens, unicode_form
+from kervan.llm import near_copies, neighbours, pieces, sentences, tokens, unicode_form
+from kervan.functions import vector
 from kervan.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,22 @@ def p2_classes(spark, d):
     return near_copies.classes_of(pairs, members).select(_field("gid").alias("field"), _row("gid").alias("row_id"), _row("class_id").alias("class_id"), "n_links")
 
 
+MODEL, DIMS = "leaflet-embed-2", 64
+
+
+def p3_neighbours(spark, d):
+    """chunk_id, near_id, sim: the five most similar usable chunks of every usable chunk."""
+    c = read(spark, d, "document_chunks", "chunk_id", "embedding", "embedding_model")
+    rows = c.filter(vector.is_usable(F.col("embedding"), F.col("embedding_model"), MODEL, DIMS)).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
+    near = neighbours.nearest(rows)
+    return near.select(F.col("id").alias("chunk_id"), F.explode("near").alias("x")).select("chunk_id", F.col("x.id").alias("near_id"), F.round("x.sim", 9).alias("sim"))
+
+
+def p3_found(spark, d):
+    n = p3_neighbours(spark, d)
+    return n.select(F.least("chunk_id", "near_id").alias("chunk_id_a"), F.greatest("chunk_id", "near_id").alias("chunk_id_b")).distinct()
+
+
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     m = fields(read(spark, d, "medicines", "medicine_id", "dosage_information", "warnings"), "medicine_id", "dosage_information", "warnings")
     return m.unionByName(fields(read(spark, d, "document_chunks", "chunk_id", "chunk_text"), "chunk_id", "chunk_text"))
@@ -99,4 +116,4 @@ def p7_ids(spark, d):
     return tokens.encode_texts(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_classes, p4_found, p4_pieces, p6_found, p7_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_classes, p3_found, p3_neighbours, p4_found, p4_pieces, p6_found, p7_ids)}
