@@ -200,23 +200,27 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return same.unionByName(other)
 
 
-def classes_of(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """gid, class_id, n_links: every text with the lowest gid of its connected class and its number of near pairs.
+def components(pairs: DataFrame) -> DataFrame:
+    """node, label: every node of the pairs (a, b) with the least node of its connected class; nodes of any ordered type.
 
-    Labels travel along the edges between representatives and are shortened by pointer jumping, every round cut from
-    its lineage in the shared folder; rounds grow with the logarithm of a class's diameter.
+    Labels travel along the edges and are shortened by pointer jumping, every round cut from its lineage in the
+    shared folder; rounds grow with the logarithm of a class's diameter.
     """
-    links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = links.groupBy("a").agg(F.count("*").alias("n_links"))
+    links = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = cut(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         seen = links.join(label.select(F.col("a").alias("b"), F.col("label").alias("_l")), "b").groupBy("a").agg(F.min("_l").alias("_n"))
         step = label.join(seen, "a").select("a", "label", F.least("label", "_n").alias("_m"))
         jump = label.select(F.col("a").alias("_m"), F.col("label").alias("_j"))
         new = cut(step.join(jump, "_m", "left").select("a", "label", F.least("_m", F.coalesce("_j", "_m")).alias("_new")))
-        changed = new.filter(F.col("_new") != F.col("label")).isEmpty()
+        done = new.filter(F.col("_new") != F.col("label")).isEmpty()
         label = new.select("a", F.col("_new").alias("label"))
-        if changed:
-            break
-    known = label.join(degree, "a").select(F.col("a").alias("rep"), "label", "n_links")
+        if done:
+            return label.select(F.col("a").alias("node"), "label")
+
+
+def classes_of(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """gid, class_id, n_links: every text with the lowest gid of its connected class and its number of near pairs."""
+    both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+    known = components(pairs).withColumnRenamed("node", "rep").join(both.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links")), "rep")
     return members.join(known, "rep", "left").select("gid", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

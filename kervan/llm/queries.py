@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kervan.llm import near_copies, neighbours, pieces, sentences, tokens, unicode_form
+from kervan.llm import entities, near_copies, neighbours, pieces, sentences, tokens, unicode_form
 from kervan.functions import vector
 from kervan.session import spread
 
@@ -106,6 +106,20 @@ def p4_found(spark, d):
     return p4_pieces(spark, d).filter(F.col("piece_no") == 1).select("field", "row_id")
 
 
+def p5_products(spark, d):
+    """medicine_id, product: rows of one product, however typed, share the value."""
+    return entities.resolve_names(read(spark, d, "medicines", "medicine_id", "medicine_name"), "medicine_id", "medicine_name")
+
+
+def p5_found(spark, d):
+    p = p5_products(spark, d)
+    left, right = p.withColumnRenamed("medicine_id", "left_id"), p.withColumnRenamed("medicine_id", "right_id")
+    names = left.join(right, "product").filter(F.col("left_id") < F.col("right_id")).select(F.lit("medicine_name").alias("field"), "left_id", "right_id")
+    refs = spark.read.parquet(f"{d}/ingredient_refs.parquet")
+    found = entities.link_ingredients(read(spark, d, "medicines", "medicine_id", "active_ingredient"), "medicine_id", "active_ingredient", refs)
+    return names.unionByName(found.select(F.lit("active_ingredient").alias("field"), F.col("medicine_id").alias("left_id"), F.col("ingredient_id").alias("right_id")))
+
+
 def p6_found(spark, d):
     names = ("dosage_information", "usage_information", "interactions")
     values = fields(read(spark, d, "medicines", "medicine_id", *names), "medicine_id", *names)
@@ -116,4 +130,4 @@ def p7_ids(spark, d):
     return tokens.encode_texts(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_classes, p3_found, p3_neighbours, p4_found, p4_pieces, p6_found, p7_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_classes, p3_found, p3_neighbours, p4_found, p4_pieces, p5_found, p5_products, p6_found, p7_ids)}
