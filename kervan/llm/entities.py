@@ -214,7 +214,8 @@ class Ingredients:
 
     @lru_cache(200_000)  # noqa: B019
     def find(self, part: str) -> int | None:
-        """The ingredient a folded part names, or None. A salt that isn't known of its base names nothing."""
+        """The ingredient a folded part names, or None. A salt that isn't known of its base names nothing; a base
+        typed without one names its only ingredient, if there is but one."""
         kind, salt = read_ingredient(part)
         if (kind, "") in self.exact:
             return self.exact[kind, ""]
@@ -226,11 +227,15 @@ class Ingredients:
             return None
         base = sound(kind[5:])
         if base in self.salts:
-            return self.salts[base].get(salt)
+            return self._salted(base, salt)
         if len(base) < 5:
             return None
         fits = sorted((d, b) for b in {b for w in without(base) for b in self.near.get(w, ())} if (d := distance(base, b, EDITS)) <= EDITS)
-        return self.salts[fits[0][1]].get(salt) if fits else None
+        return self._salted(fits[0][1], salt) if fits else None
+
+    def _salted(self, base: str, salt: str) -> int | None:
+        known = self.salts[base]
+        return next(iter(known.values())) if not salt and len(known) == 1 else known.get(salt)
 
 
 _SEPARATOR = re.compile(r"[/,+;&|]|\bve\b|\band\b|\bund\b")
