@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kervan.llm import entities, near_copies, neighbours, pieces, sentences, tokens, unicode_form
+from kervan.llm import entities, near_copies, neighbours, pieces, sentences, tokens, truncation, unicode_form
 from kervan.functions import vector
 from kervan.session import spread
 
@@ -130,4 +130,17 @@ def p7_ids(spark, d):
     return tokens.encode_texts(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_classes, p3_found, p3_neighbours, p4_found, p4_pieces, p5_found, p5_products, p6_found, p7_ids)}
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judge(read(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
+
+
+def p9_found(spark, d):
+    return _judged(spark, d).filter("is_cut").select("doc_id")
+
+
+def p9_sources(spark, d):
+    """How often each source cuts."""
+    return truncation.report(_judged(spark, d))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_classes, p3_found, p3_neighbours, p4_found, p4_pieces, p5_found, p5_products, p6_found, p7_ids, p9_found, p9_sources)}
