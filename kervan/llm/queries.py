@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kervan.llm import entities, near_copies, neighbours, pieces, sentences, tokens, truncation, unicode_form
+from kervan.llm import containers, entities, near_copies, neighbours, pieces, sentences, tokens, truncation, unicode_form
 from kervan.functions import vector
 from kervan.session import spread
 
@@ -130,6 +130,17 @@ def p7_ids(spark, d):
     return tokens.encode_texts(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p8_containers(spark, d):
+    """Every document, or piece of one above 2,048 ids, with its container."""
+    sizes = tokens.encode_texts(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", F.size("ids").alias("n_ids"))
+    return containers.fill(sizes, "doc_id", "n_ids")
+
+
+def p8_usage(spark, d):
+    """Containers used, the least that any packing needs, and the share left unused."""
+    return containers.usage(p8_containers(spark, d))
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judge(read(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
 
@@ -143,4 +154,4 @@ def p9_sources(spark, d):
     return truncation.report(_judged(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_classes, p3_found, p3_neighbours, p4_found, p4_pieces, p5_found, p5_products, p6_found, p7_ids, p9_found, p9_sources)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_classes, p3_found, p3_neighbours, p4_found, p4_pieces, p5_found, p5_products, p6_found, p7_ids, p8_containers, p8_usage, p9_found, p9_sources)}
