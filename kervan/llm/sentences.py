@@ -95,7 +95,7 @@ def _class(ch: str) -> str:
 
 
 # State: (phase, ...). ("text", node, length 0-2, kind, flags) inside a sentence, where kind tells the last token:
-# "" none, "w" word, "n" number, "l" number that opens a line; flags: g last letter Greek, t last character Thai,
+# "" none, "w" word, "m" letters with digits, "n" number, "l" number that opens a line; flags: g last letter Greek, t last character Thai,
 # v the token before this one was a number. ("end", why, closed, spaced, p) after a mark, waiting for what follows.
 _START = ("text", 0, 0, "", False, False, False, True)
 
@@ -110,7 +110,7 @@ def _step(state: tuple, cls: str) -> tuple[tuple, int]:
     part = cls.split(":")
     if len(part) == 3:
         trie, _ = _trie()
-        fresh = kind != "w" or size == 0
+        fresh = kind not in ("w", "m") or size == 0
         nxt = trie.get((0 if fresh else node, part[2]), -1) if fresh or node >= 0 else -1
         if kind == "n" and size and not fresh:
             nxt = -1
@@ -121,8 +121,8 @@ def _step(state: tuple, cls: str) -> tuple[tuple, int]:
     if cls == "thai":
         return ("text", -1, 2, "w", False, True, False, False), NONE
     if cls == "digit":
-        if kind == "w" and size:
-            return ("text", -1, 2, "w", False, False, False, False), NONE
+        if kind in ("w", "m") and size:
+            return ("text", -1, 2, "m", False, False, False, False), NONE
         return ("text", 0, 1, "l" if opening or kind == "l" else "n", False, False, False, opening), NONE
     if cls == "space":
         if thai:
@@ -135,7 +135,7 @@ def _step(state: tuple, cls: str) -> tuple[tuple, int]:
         if kind == "w" and size:
             short = (node >= 0 and _trie()[1].get(node, False)) or (size == 1 and not number)
             return ("end", "short" if short else "word", False, False, 0), MARK
-        return ("end", "word", False, False, 0), MARK
+        return ("end", "mixed" if kind == "m" and size else "word", False, False, 0), MARK
     if cls == "dots":
         return ("end", "word", False, False, 0), MARK
     if cls in ("bang", "hard"):
@@ -155,6 +155,10 @@ def _begin(cls: str) -> tuple:
 
 def _after(state: tuple, cls: str) -> tuple[tuple, int]:
     _, why, closed, spaced, p = state
+    if why == "mixed":  # letters with digits: a word, unless a digit follows at once
+        if cls == "digit" and not spaced and not closed:
+            return ("text", -1, 2, "m", False, False, False, False), NONE
+        why = "word"
     inside = ("text", 0, 0, "", False, False, False, False)
     part = cls.split(":")
     if p:  # "pH" opens a sentence though it is written small
