@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +62,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
         return df
     n = task_slots(spark)
     return df.repartition(n, *keys) if keys else df.repartition(n)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that functions that run there can import it.
+
+    The archive is made beside the driver and served by it; executors fetch it, no shared path is needed.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="kervan-"))
+    shutil.copytree(root, folder / "src" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(folder / root.name), "zip", folder / "src"))
+    _SHIPPED.add(sc.applicationId)
