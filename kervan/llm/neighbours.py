@@ -26,7 +26,7 @@ from kervan.session import cut, task_slots
 #: Buckets a vector is sent to.
 PROBES = 4
 #: Vectors of the fitting sample, at most; most directions; vectors a direction is meant for; most vectors of a bucket.
-SAMPLE, DIRECTIONS, PER_DIRECTION, FULL = 16_384, 2_048, 96, 4_096
+SAMPLE, DIRECTIONS, PER_DIRECTION, FULL = 32_768, 4_096, 48, 4_096
 _ROUNDS = 6
 
 
