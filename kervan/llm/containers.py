@@ -217,7 +217,7 @@ def fill(df: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> DataFr
     """key, piece_no, n, container: every item in a container; the pieces' n in a container never exceed the capacity.
 
     Items above the capacity are cut into full pieces and a rest, others stay whole. Items of size 0 or null take no
-    room and stand in container 0. key is unique; other columns don't travel. Ties are settled by key. An empty table
+    room and stand in container 0. key is unique (a null is one more key); other columns don't travel. Ties are settled by key. An empty table
     gives no rows.
     """
     spark = df.sparkSession

@@ -115,7 +115,7 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def resolve_names(df: DataFrame, key: str, name: str) -> DataFrame:
-    """key, product: one row per row of df whose name is filled; rows of one product share the value.
+    """key, product: one row per row of df whose name is filled, repeated rows once; rows of one product share the value.
 
     Null and blank names give no row. Names without letters of a brand are a product of their own marks. A product is
     brand profile and marks; how many rows, or copies of a name, one product has makes no difference to a task: rows
@@ -150,7 +150,7 @@ def resolve_names(df: DataFrame, key: str, name: str) -> DataFrame:
     named = rows.filter(~F.col("initials")).join(profile, "brand").select("_key", F.concat_ws("|", "label", "marks").alias("product"))
     by_initials = rows.filter("initials").join(owner.withColumnRenamed("stem", "brand"), ["brand", "marks"], "left")
     by_initials = by_initials.select("_key", F.concat_ws("|", F.coalesce("label", F.concat("brand", F.lit("."))), "marks").alias("product"))
-    return named.unionByName(by_initials).withColumnRenamed("_key", key)
+    return named.unionByName(by_initials).distinct().withColumnRenamed("_key", key)
 
 
 # ---- ingredients ----

@@ -112,7 +112,7 @@ def _sets(values: DataFrame, size: int) -> DataFrame:
                 [pa.array(gid, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["gid", "digest", "seqs"]
             )
 
-    return values.select("gid", "text").mapInArrow(make, "gid long, digest binary, seqs array<int>")
+    return values.select("gid", "text").filter(F.col("gid").isNotNull()).mapInArrow(make, "gid long, digest binary, seqs array<int>")
 
 
 def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -170,7 +170,8 @@ def _similar(edges: DataFrame, sets: DataFrame) -> DataFrame:
 def near_copies(values: DataFrame, size: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives, members).
 
-    values: gid (row id * 4 + field, unique), text (any string; null, blank and too short ones are left out).
+    values: gid (row id * 4 + field), text (any string; null, blank and too short ones are left out, as are null gids;
+    a repeated row counts once). Other columns don't matter.
     pairs: a < b, sim >= least, between texts whose sets of `size`-word sequences differ, each pair once.
     members: gid, rep: every text with the lowest gid among the texts of the same set. Ties can't occur.
     The candidate search is probabilistic as BANDS states; every pair given was checked exactly.
@@ -179,11 +180,11 @@ def near_copies(values: DataFrame, size: int = 5, least: float = 0.8, bands: int
     slots = task_slots(spark)
     sets = cut(_sets(values, size))
     classes = sets.groupBy("digest").agg(F.min("gid").alias("rep"))
-    members = cut(sets.select("gid", "digest").join(classes, "digest").select("gid", "rep"))
+    members = cut(sets.select("gid", "digest").join(classes, "digest").select("gid", "rep").distinct())
     reps = sets.join(members.filter(F.col("gid") == F.col("rep")).select("gid"), "gid", "left_semi").select("gid", "seqs")
     edges = cut(_stars(_buckets(reps, bands, rows), slots).groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b"))
     nodes = edges.select(F.col("a").alias("gid")).unionByName(edges.select(F.col("b").alias("gid"))).distinct()
-    sets = cut(sets.join(nodes, "gid", "left_semi").select("gid", "seqs"))
+    sets = cut(sets.join(nodes, "gid", "left_semi").select("gid", "seqs").dropDuplicates(["gid"]))
     checked = cut(_similar(edges, sets).filter(F.col("sim") >= min(NEAR, least)))
     both = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     around = both.alias("x").join(both.alias("y"), F.col("x.a") == F.col("y.a")).filter(F.col("x.b") < F.col("y.b")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()

@@ -137,16 +137,16 @@ def _best(ids: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
 def nearest(rows: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
     """id, near (array of (sim, id), best first, k of them): the k most similar others of every vector.
 
-    rows: id (unique), vec (arrays of one length, finite, not all zero; anything else must be filtered before). Equal
-    vectors count as different items; ties go to the lower id. A vector alone in its buckets may get fewer than k or
+    rows: id, vec (arrays of one length, finite, not all zero; anything else must be filtered before). Null ids and
+    vectors are left out, a repeated row counts once, other columns don't matter. Equal vectors are different items; ties go to the lower id. A vector alone in its buckets may get fewer than k or
     none. Empty input gives no rows. Approximate: tests measure recall against brute force and ask for 0.9.
     """
     spark = rows.sparkSession
     sc = spark.sparkContext
-    all_ = cut(_vectors(rows))
+    all_ = cut(_vectors(rows.filter(F.col("id").isNotNull() & F.col("vec").isNotNull())))
     classes = all_.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = cut(all_.select("id", "digest").join(classes, "digest").select("id", "rep"))
-    reps = all_.join(members.filter(F.col("id") == F.col("rep")).select("id"), "id", "left_semi").select("id", "unit")
+    members = cut(all_.select("id", "digest").join(classes, "digest").select("id", "rep").distinct())
+    reps = all_.join(members.filter(F.col("id") == F.col("rep")).select("id"), "id", "left_semi").select("id", "unit").dropDuplicates(["id"])
     total = members.filter(F.col("id") == F.col("rep")).count()
     share = min(1.0, SAMPLE / max(total, 1))
     drawn = all_.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("id", "unit").limit(2 * SAMPLE).collect()

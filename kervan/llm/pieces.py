@@ -124,7 +124,7 @@ def _stitched(tables: DataFrame, keys: list[str], limit: int, overlap: int) -> D
 def cut_values(df: DataFrame, text: str, keys: list[str], limit: int = LIMIT, overlap: int = OVERLAP, span: int = RANGE) -> DataFrame:
     """keys + piece_no (from 0), start_pos, fresh_pos, end_pos, piece, of every value longer than limit.
 
-    Null, empty and short values give no rows. keys identify a row and may not be null; other columns don't travel,
+    Null, empty and short values give no rows. keys identify a row, may not be null and may not repeat; other columns don't travel,
     whatever they are called. A piece has at most `limit` code points; joined from fresh_pos on, the pieces are the
     value. Values up to `span` are planned where they are; longer ones by ranges, on different workers.
     """

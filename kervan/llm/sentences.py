@@ -317,7 +317,7 @@ _SPANS = "array<struct<start_pos:bigint,end_pos:bigint>>"
 def split_sentences(df: DataFrame, text: str, keys: list[str], block: int = BLOCK) -> DataFrame:
     """keys, start_pos, end_pos: one row per sentence of every value, in code points; null and blank values give none.
 
-    keys identify a row; columns of any name don't matter. Values above `block` are run block by block on different
+    keys identify a row and may not be null; a repeated row gives its sentences again; columns of any name don't matter. Values above `block` are run block by block on different
     workers; what is gathered per value is one state function per block and its cuts.
     """
     rows = df.select(*keys, F.col(text).alias("_t")).filter(F.col("_t").isNotNull())

@@ -100,6 +100,7 @@ def encode_texts(df: DataFrame, key: str, text: str, folder: str = FOLDER, name:
 
     Texts above `part` characters are encoded in parts by several workers and joined exactly; repeated rows and
     columns of any name don't matter.
+    A repeated row gives its ids again.
     """
     encode = _encode_udf(folder, name)
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))

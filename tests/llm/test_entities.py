@@ -27,9 +27,10 @@ def test_products(spark):
         (1, "Hazukson Plus 20 mg flakon"), (2, "Hazuksno + 20 mg flk."), (3, "Hazuk. Plus 0,02 g flakon"), (4, "Hazukson Plus 20 mg krem"), (5, "Hazukson 20 mg flakon"),
         (6, "Hazzuksonn Plus 20 mg flakon"), (7, None), (8, " "), (9, "Berdolifat 5 mg krem"), (10, "Berd. 5 mg kr."), (11, "Berd. 10 mg kr."), (12, "Hazukson Plus 20 mg flakon"),
     ]
-    df = spark.createDataFrame([(i, n, "p") for i, n in rows], "id long, n string, product string")
-    got = {r.id: r.product for r in E.resolve_names(df, "id", "n").collect()}
-    assert len(got) == 10 and got[1] == got[2] == got[3] == got[6] == got[12]
+    df = spark.createDataFrame([(i, n, "p") for i, n in [*rows, *rows[:4]]], "id long, n string, product string")
+    all_ = E.resolve_names(df, "id", "n").collect()
+    got = {r.id: r.product for r in all_}
+    assert len(all_) == len(got) == 10 and got[1] == got[2] == got[3] == got[6] == got[12]
     assert len({got[i] for i in (1, 4, 5, 9)}) == 4 and got[9] == got[10] != got[11]
     assert E.resolve_names(df.limit(0), "id", "n").count() == 0
 

@@ -36,7 +36,8 @@ def test_pairs_against_brute_force(spark):
     rows = [(i * 4 + i % 2, t) for i, t in enumerate(texts(rng, 80))]
     hot = " ".join(rng.choice(WORDS) for _ in range(30))
     rows += [(100_000 + 4 * i, hot) for i in range(60)] + [(200_000, None), (200_004, ""), (200_008, "bir iki"), (200_012, "a b c " * 20_000)]
-    df = spark.createDataFrame([(g, t, "x") for g, t in rows], "gid long, text string, a string")
+    given = [*rows, *rows[:25], (None, hot), (None, None)]
+    df = spark.createDataFrame([(g, t, "x") for g, t in given], "gid long, text string, a string")
     pairs, members = N.near_copies(df, 3, 0.5)
     got = [tuple(r) for r in N.expand(pairs, members).collect()]
     want = brute(rows, 3, 0.5)

@@ -30,7 +30,7 @@ def test_copies_and_ties(spark):
     rng = np.random.default_rng(4)
     v = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 40, 0), rng.normal(size=(30, 8))])
     ids = np.arange(70) * 3
-    got, want = run(spark, ids, v), brute(ids, v, 5)
+    got, want = run(spark, np.r_[ids, ids[:9]], np.r_[v, v[:9]]), brute(ids, v, 5)  # repeated rows count once
     assert all(got[i] == want[i] for i in range(0, 120, 3))  # copies: the lowest other ids
     assert np.mean([got.get(i) == w for i, w in want.items()]) >= 0.9
 
