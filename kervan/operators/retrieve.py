@@ -100,10 +100,14 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, medicines: DataFrame, conf
             mine = [r for r in rows if len(r["query_vec"]) == d and any(r["query_vec"])]
             if not mine:
                 continue
-            block = queries.sparkSession.createDataFrame([(r["query_id"], r["query_text"]) for r in mine], "query_id long, query_text string")
-            names = named_in(block, medicines, "query_id", "query_text", "medicine_id", "medicine_name")
-            named = names.groupBy("medicine_id").agg(F.collect_list("query_id").alias("named"))  # at most BLOCK_ROWS ids each
-            part = score_block(usable.join(named, "medicine_id", "left"), [r["query_id"] for r in mine], np.array([r["query_vec"] for r in mine], float), k, low, config.name_boost)
+            rows_of = usable.withColumn("named", F.lit(None).cast("array<bigint>"))
+            texts = [(r["query_id"], r["query_text"]) for r in mine if (r["query_text"] or "").strip()]
+            if texts and config.name_boost:
+                block = queries.sparkSession.createDataFrame(texts, "query_id long, query_text string")
+                names = named_in(block, medicines, "query_id", "query_text", "medicine_id", "medicine_name")
+                named = names.groupBy("medicine_id").agg(F.collect_list("query_id").alias("named"))  # at most BLOCK_ROWS ids each
+                rows_of = usable.join(named, "medicine_id", "left")
+            part = score_block(rows_of, [r["query_id"] for r in mine], np.array([r["query_vec"] for r in mine], float), k, low, config.name_boost)
             out = part if out is None else out.unionByName(part)
     if out is None:
         out = queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, sim double, rank_score double")
