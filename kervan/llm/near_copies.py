@@ -3,9 +3,9 @@
 Texts become sets of hashed word sequences. Texts with the same set are one class, found by an aggregation that
 combines before the shuffle. The representatives of the classes get a one-permutation sketch: each sequence falls
 into one bin by its hash, a bin keeps its least value, and empty bins borrow from bins that a fixed random walk per
-bin visits (optimal densification). Bands of the sketch are buckets; a bucket of m texts gives a star of m - 1 edges
-to its lowest member and a chain, never all pairs. Edges are checked exactly; pairs that share a neighbour are added
-and checked too.
+bin visits (optimal densification). Bands of the sketch are buckets. All members of a bucket are compared exactly: in
+small buckets as pairs, each once however many buckets propose it, in large ones block by block. Pairs that share a
+neighbour are added and checked too, until none is new.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from kervan.session import cut, task_slots
 BANDS, ROWS = 64, 5
 #: Similarity from which a checked edge may lead to further pairs around a shared neighbour.
 NEAR = 0.3
+#: Members of a bucket from which its pairs are compared block by block.
+BLOCK = 512
 _WORD = re.compile(r"[^\W_]+")
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -132,30 +134,86 @@ def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     return reps.select("gid", "seqs").mapInArrow(make, "key long, gid long")
 
 
-def _stars(buckets: DataFrame, partitions: int) -> DataFrame:
-    """a < b: every member of a bucket with its lowest member and with the member before it.
+def _within(buckets: DataFrame, partitions: int) -> DataFrame:
+    """key, a, b. With a null key: a < b, a pair of members of one bucket. With a key: member a of a bucket of more than BLOCK, and the block b it belongs to.
 
-    Partitions arrive sorted, so a bucket of any size is worked off in a stream with two numbers of state.
+    Partitions arrive sorted, so only the ids of the bucket at hand are held.
     """
 
+    def split(k: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+        once = np.r_[np.ones(min(len(k), 1), bool), (k[1:] != k[:-1]) | (g[1:] != g[:-1])]
+        k, g = k[once], g[once]
+        start = np.flatnonzero(np.r_[np.ones(min(len(k), 1), bool), k[1:] != k[:-1]])
+        size = np.diff(np.r_[start, len(k)])
+        size, place = np.repeat(size, size), np.arange(len(k)) - np.repeat(start, size)
+        hot = np.flatnonzero(size > BLOCK)
+        left, right, at, apart = [g[hot]], [place[hot] // BLOCK], np.flatnonzero((size > 1) & (size <= BLOCK)), 1
+        while (at := at[place[at] + apart < size[at]]).size:
+            left.append(g[at])
+            right.append(g[at + apart])
+            apart += 1
+        n = sum(map(len, left[1:]))
+        key = pa.concat_arrays([pa.array(k[hot], pa.int64()), pa.nulls(n, pa.int64())])
+        return pa.RecordBatch.from_arrays([key, pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=["key", "a", "b"])
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, centre, last = None, 0, 0
+        k, g = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
-            k, g = b.column(0).to_numpy(), b.column(1).to_numpy()
-            new = np.r_[key is None or k[0] != key, k[1:] != k[:-1]]
-            start = np.flatnonzero(new)
-            run = np.cumsum(new) - 1  # -1: still the bucket of the batch before
-            first = np.where(run < 0, centre, g[start[np.maximum(run, 0)]] if start.size else centre)
-            prev = np.r_[last, g[:-1]]
-            old = ~new
-            a, c, m = first[old], prev[old], g[old]
-            chain = (c != a) & (c != m)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, c[chain]][(keep := np.r_[a != m, np.ones(chain.sum(), bool)])]), pa.array(np.r_[m, m[chain]][keep])], names=["a", "b"])
-            key, centre, last = k[-1], first[-1], g[-1]
-
-    return buckets.repartition(partitions, "key").sortWithinPartitions("key", "gid").mapInArrow(make, "a long, b long")
+            k, g = np.r_[k, b.column(0).to_numpy()], np.r_[g, b.column(1).to_numpy()]
+            last = np.searchsorted(k, k[-1])  # the last bucket may go on in the next batch
+            yield split(k[:last], g[:last])
+            k, g = k[last:], g[last:]
+        yield split(k, g)
+
+    return buckets.repartition(partitions, "key").sortWithinPartitions("key", "gid").mapInArrow(make, "key long, a long, b long")
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """(len(x), len(y)) numbers of values that the sets have in common."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    ox, oy = np.repeat(np.arange(len(x)), list(map(len, x))), np.repeat(np.arange(len(y)), list(map(len, y)))
+    known = np.intersect1d(fx, fy)
+    for at in range(0, len(known), 4096):
+        part = known[at : at + 4096]
+        sides = []
+        for flat, owner, n in ((fx, ox, len(x)), (fy, oy, len(y))):
+            place = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[place] == flat
+            m = np.zeros((n, len(part)), np.float32)
+            m[owner[hit], place[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _tiles(hot: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a < b, sim >= least: all pairs of the members (a) of large buckets (key), which lie in blocks (b); two blocks a task."""
+
+    def check(tile: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        i, j = tile[1].as_py(), tile[2].as_py()
+        gid, block = t.column("gid").to_numpy(), t.column("b").to_numpy()
+        seqs = [np.asarray(v, np.int32) for v in t.column("seqs").to_pylist()]
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        common = _common([seqs[r] for r in x], [seqs[r] for r in y])
+        size = np.array([len(v) for v in seqs])
+        sim = common / (size[x][:, None] + size[y][None] - common)
+        r, c = np.nonzero((sim >= least) & (gid[x][:, None] < gid[y][None]))
+        return pa.table({"a": pa.array(gid[x][r], pa.int64()), "b": pa.array(gid[y][c], pa.int64()), "sim": pa.array(sim[r, c], pa.float64())})
+
+    blocks = hot.groupBy("key").agg(F.max("b").alias("_last"))
+    placed = hot.join(blocks, "key").select("key", F.col("a").alias("gid"), "b", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_o"))
+    placed = placed.join(sets, "gid").select("key", F.least("b", "_o").alias("_i"), F.greatest("b", "_o").alias("_j"), "gid", "b", "seqs")
+    return placed.groupBy("key", "_i", "_j").applyInArrow(check, "a long, b long, sim double")
+
+
+def _around(new: DataFrame, linked: DataFrame) -> DataFrame:
+    """a < b: pairs that share a neighbour, at least one of the two links being new."""
+    x, y = (e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) for e in (new, linked))
+    both = x.alias("x").join(y.alias("y"), F.col("x.a") == F.col("y.a")).filter(F.col("x.b") != F.col("y.b"))
+    return both.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def _similar(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,14 +240,22 @@ def near_copies(values: DataFrame, size: int = 5, least: float = 0.8, bands: int
     classes = sets.groupBy("digest").agg(F.min("gid").alias("rep"))
     members = cut(sets.select("gid", "digest").join(classes, "digest").select("gid", "rep").distinct())
     reps = sets.join(members.filter(F.col("gid") == F.col("rep")).select("gid"), "gid", "left_semi").select("gid", "seqs")
-    edges = cut(_stars(_buckets(reps, bands, rows), slots).groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b"))
-    nodes = edges.select(F.col("a").alias("gid")).unionByName(edges.select(F.col("b").alias("gid"))).distinct()
+    proposed = cut(_within(_buckets(reps, bands, rows), slots))
+    edges = cut(proposed.filter(F.col("key").isNull()).select("a", "b").distinct())
+    hot = proposed.filter(F.col("key").isNotNull())
+    nodes = edges.select(F.col("a").alias("gid")).unionByName(edges.select(F.col("b").alias("gid"))).unionByName(hot.select(F.col("a").alias("gid"))).distinct()
     sets = cut(sets.join(nodes, "gid", "left_semi").select("gid", "seqs").dropDuplicates(["gid"]))
-    checked = cut(_similar(edges, sets).filter(F.col("sim") >= min(NEAR, least)))
-    both = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = both.alias("x").join(both.alias("y"), F.col("x.a") == F.col("y.a")).filter(F.col("x.b") < F.col("y.b")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
-    more = _similar(around.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets).filter(F.col("sim") >= least)
-    return checked.filter(F.col("sim") >= least).unionByName(more), members
+    near = min(NEAR, least)
+    checked = _similar(edges, sets).filter(F.col("sim") >= near)
+    if not hot.isEmpty():
+        checked = checked.unionByName(_tiles(hot, sets, near)).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    linked = new = cut(checked)
+    while True:
+        more = _around(new, linked).join(linked.select("a", "b"), ["a", "b"], "left_anti")
+        new = cut(_similar(more, sets).filter(F.col("sim") >= least))
+        if new.isEmpty():
+            return linked.filter(F.col("sim") >= least), members
+        linked = cut(linked.unionByName(new))
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -70,3 +70,38 @@ def test_components(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 105)], "a long, b long")
     got = {r.node: r.label for r in components(pairs).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 105: 100}
+
+
+def bucketed(spark, monkeypatch, block):
+    """True pairs and given pairs of foreign texts that interleave by gid, all in one bucket and in no other."""
+    rng = random.Random(6)
+    bases = [[f"k{b}s{i}" for i in range(30)] for b in range(7)]
+    rows = []
+    for i in range(42):  # member i is a copy of base i % 7 with one word replaced
+        v = list(bases[i % 7])
+        v[rng.randrange(30)] = f"x{i}"
+        rows.append((4 * i, " ".join(v)))
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "_buckets", lambda reps, bands, rows: reps.selectExpr("cast(7 as bigint) key", "gid"))
+    pairs, members = N.near_copies(spark.createDataFrame(rows, "gid long, text string"), 3, 0.5)
+    return brute(rows, 3, 0.5), [tuple(r) for r in N.expand(pairs, members).collect()]
+
+
+def test_all_members_of_a_bucket_are_compared(spark, monkeypatch):
+    want, got = bucketed(spark, monkeypatch, 512)
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    want, got = bucketed(spark, monkeypatch, 5)
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_neighbours_until_no_new_pair(spark, monkeypatch):
+    """A chain of texts in buckets of two: pairs two and three links apart are found around found pairs."""
+    words = [f"z{i}" for i in range(60)]
+    rows = [(4 * i, " ".join(words[i : i + 40])) for i in range(12)]
+    keys = ", ".join(f"({4 * i}, {i}), ({4 * i + 4}, {i})" for i in range(11))
+    monkeypatch.setattr(N, "_buckets", lambda reps, bands, rows: reps.select("gid").join(spark.sql(f"select cast(col1 as bigint) gid, cast(col2 as bigint) key from values {keys}"), "gid").select("key", "gid"))
+    pairs, members = N.near_copies(spark.createDataFrame(rows, "gid long, text string"), 3, 0.5)
+    assert {tuple(r) for r in N.expand(pairs, members).collect()} == brute(rows, 3, 0.5)
