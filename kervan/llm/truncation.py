@@ -23,8 +23,6 @@ from kervan.session import cut
 
 #: Positions below a limit within which a cut may fall (the cut word, or what was added).
 WINDOW = 24
-#: Lengths are counted exactly up to EXACT and in steps of one per cent above, so a source has a bounded histogram.
-EXACT = 16_384
 #: Log odds of what an ending says; the sum with the log odds of the length decides.
 EVIDENCE = {"stop": -12.0, "fixed": -12.0, "added": 12.0, "trail_open": 10.0, "trail_final": -3.0, "short": 2.0, "number": -1.0, "list_final": -6.0, "list_open": 9.0, "bare_final": -5.0, "bare_open": 9.0, "open": 9.0, "empty": -12.0}
 
@@ -169,18 +167,13 @@ def find_limit(length: np.ndarray, count: np.ndarray) -> tuple[int, dict[int, fl
     return best[1], best[2]
 
 
-def _bin(c):
-    """Lengths as counted: exact up to EXACT, above to one per cent."""
-    return F.when(c <= EXACT, c.cast("long")).otherwise(F.floor(F.exp(F.floor(F.log(c.cast("double")) * 100) / 100)).cast("long"))
-
-
 def fit_sources(lengths: DataFrame) -> DataFrame:
     """source, unit, limit, length, posterior: lengths of a source at which values were cut, with the posterior.
 
-    lengths: source, n_chars, n_bytes. Counted per source and length with a map-side combine; the histogram that one
-    task fits has a bounded number of rows however many texts a source has.
+    lengths: source, n_chars, n_bytes. Every length is counted exactly, per source with a map-side combine; the
+    histogram that one task fits has one row per length that occurs, however many texts a source has.
     """
-    units = F.array(F.struct(F.lit("chars").alias("unit"), _bin(F.col("n_chars")).alias("length")), F.struct(F.lit("bytes").alias("unit"), _bin(F.col("n_bytes")).alias("length")))
+    units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").cast("long").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").cast("long").alias("length")))
     hist = lengths.select("source", F.inline(units)).groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
 
     def fit(f: pd.DataFrame) -> pd.DataFrame:

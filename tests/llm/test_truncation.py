@@ -54,3 +54,15 @@ def test_limit_is_found():
     assert limit == 700 and share[700] > 0.95 and max(v for k, v in share.items() if k < 700) < 0.9
     length, n = np.unique(np.exp(rng.normal(6, 0.8, 3000)).astype(int) + 1, return_counts=True)
     assert T.find_limit(length, n) == (0, {})
+
+
+def test_long_limit_reaches_its_texts(spark):
+    """The lengths at a limit of 32,767 bytes have its posterior in the judgement."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        data = (rng.choice(SENTENCES) + " " + "ş" * int(rng.lognormvariate(9.7, 0.4))).encode()[:32_767]
+        rows.append((i, data.decode(errors="ignore"), "uzun"))
+    judged = {r.doc_id: r for r in T.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
+    at_limit = [i for i, t, _ in rows if 32_750 < len(t.encode()) <= 32_767]
+    assert len(at_limit) > 15 and all(judged[i].posterior > 0.5 for i in at_limit)
