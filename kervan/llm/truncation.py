@@ -108,79 +108,99 @@ def final_keys(text: str) -> list[int]:
 # ---- lengths ----
 
 
-def _survival(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _survival(z: np.ndarray) -> np.ndarray:
+    return 0.5 * np.fromiter(map(math.erfc, z / math.sqrt(2)), float, len(z))
 
 
-def fit_censored(x: np.ndarray, n: np.ndarray, censored: float, limit: float, rounds: int = 60) -> tuple[float, float, float]:
-    """(mu, sigma, log likelihood) of log lengths: values x with counts n seen whole, `censored` more known to exceed limit."""
-    y, c = np.log(x), math.log(limit)
-    total = n.sum() + censored
-    mu, sd = float((n @ y) / max(n.sum(), 1)), 1.0
+def fit_censored(n: np.ndarray, sy: np.ndarray, syy: np.ndarray, total: float, limit: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """(mu, sigma) of log lengths, one fit per limit: n values seen whole with sums sy and syy of their logs and squared logs, the rest of total known to exceed limit."""
+    c, censored = np.log(limit), total - n
+    mu, sd = sy / np.maximum(n, 1), np.ones(len(n))
     for _ in range(rounds):
         z = (c - mu) / sd
-        s = max(_survival(z), 1e-12)
-        lam = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / s
+        lam = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) / np.maximum(_survival(z), 1e-12)
         e1, e2 = mu + sd * lam, mu * mu + sd * sd + sd * (c + mu) * lam  # moments of a value known to exceed the limit
-        mu2 = (n @ y + censored * e1) / total
-        var = (n @ (y * y) + censored * e2) / total - mu2 * mu2
-        mu, sd = float(mu2), max(math.sqrt(max(var, 1e-4)), 0.05)
-    ll = float(n @ (-0.5 * ((y - mu) / sd) ** 2 - math.log(sd) - y - 0.5 * math.log(2 * math.pi))) + censored * math.log(max(_survival((c - mu) / sd), 1e-300))
-    return mu, sd, ll
+        mu = (sy + censored * e1) / total
+        sd = np.maximum(np.sqrt(np.maximum((syy + censored * e2) / total - mu * mu, 1e-4)), 0.05)
+    return mu, sd
 
 
-def find_limit(length: np.ndarray, count: np.ndarray) -> tuple[int, dict[int, float]]:
-    """(limit, posterior of having been cut per length) of one source in one unit; (0, {}) where no limit fits better.
+def _clearest(x: np.ndarray, n: np.ndarray, unfinished: np.ndarray, total: float) -> tuple[float, int, dict[int, float]]:
+    """(gain, limit, posterior of having been cut per length) of the clearest limit; gain 0 where there is none.
 
-    Candidates are the lengths with the fullest windows below them. At a true limit hardly anything is longer, and the
-    window holds what the fitted tail beyond it would have; the gain in likelihood must beat the cost of a parameter.
+    x: distinct lengths in order, n of total texts each, of which so many are unfinished. Every length is a candidate.
+    A limit's window holds what the fitted tail beyond it would have; the gain in likelihood must beat the cost of a
+    parameter. Where more than one per cent is longer, only some texts meet the limit (those of one channel, say):
+    then the unfinished texts alone must be more than the fit expects of all, and stand out from the windows beside.
     """
-    order = np.argsort(length)
-    x, n = length[order].astype(float), count[order].astype(float)
-    keep = x > 0
-    x, n = x[keep], n[keep]
-    total = n.sum()
-    if total < 20:
-        return 0, {}
-    cum = np.concatenate([[0], np.cumsum(n)])
-    inside = cum[1:] - cum[np.searchsorted(x, x - WINDOW, "right")]
-    above = total - cum[1:]
-    best = (0.0, 0, {})
-    for i in np.argsort(-inside)[:40]:
-        limit = x[i]
-        if above[i] > 0.01 * total or inside[i] < 4 or limit <= 2 * WINDOW:
-            continue
-        low = limit - WINDOW
-        seen = x <= low
-        if n[seen].sum() < 10:
-            continue
-        mu, sd, _ = fit_censored(x[seen], n[seen], total - n[seen].sum(), low)
-        beyond, near = (_survival((math.log(v) - mu) / sd) for v in (limit, low))
-        expected = total * max(near - beyond, 1e-9)
-        k = inside[i]
-        gain = k * math.log(k / expected) - (k - expected) if k > expected else 0.0
-        if gain > math.log(total) + 4 and gain > best[0]:
-            span = (x > low) & (x <= limit)
-            plain = expected / WINDOW
-            share = {int(v): float(min(0.9999, max(0.0, 1 - plain / c))) for v, c in zip(x[span], n[span], strict=True)}
-            best = (gain, int(limit), share)
-    return best[1], best[2]
+    y = np.log(x)
+    cum, cum_u, sy, syy = (np.concatenate([[0], np.cumsum(v)]) for v in (n, unfinished, n * y, n * y * y))
+    low = np.searchsorted(x, x - WINDOW, "right")
+    i = np.flatnonzero((cum[1:] - cum[low] >= 4) & (x > 2 * WINDOW) & (cum[low] >= 10))
+    if not i.size:
+        return 0.0, 0, {}
+    low, edge = low[i], x[i] - WINDOW
+    some = total - cum[i + 1] > 0.01 * total
+    k = np.where(some, cum_u[i + 1] - cum_u[low], cum[i + 1] - cum[low])
+    mu, sd = fit_censored(cum[low], sy[low], syy[low], total, edge)
+    expected = total * np.maximum(_survival((np.log(edge) - mu) / sd) - _survival((y[i] - mu) / sd), 1e-9)
+    beside = np.maximum(cum_u[low] - cum_u[np.searchsorted(x, edge - WINDOW, "right")], cum_u[np.searchsorted(x, x[i] + WINDOW, "right")] - cum_u[i + 1])
+    level = np.maximum((k + 2 * beside) / 3, 1e-9)
+    apart = np.where(k > level, k * np.log(np.maximum(k, 1) / level) + 2 * beside * np.log(np.maximum(beside, 1) / level), 0.0)
+    gain = np.where(k > expected, k * np.log(np.maximum(k, 1) / expected) - (k - expected), 0.0)
+    gain = np.where(some, np.where(unfinished[i] > expected / WINDOW, np.minimum(gain, apart), 0.0), gain)
+    j = int(np.argmax(gain))
+    if gain[j] <= math.log(total) + 4:
+        return 0.0, 0, {}
+    plain = max(expected[j], beside[j] if some[j] else 0.0) / WINDOW
+    span = slice(low[j], i[j] + 1)
+    return float(gain[j]), int(x[i[j]]), {int(v): float(min(0.9999, max(0.0, 1 - plain / c))) for v, c in zip(x[span], n[span], strict=True) if c}
+
+
+def find_limits(lengths: dict[str, np.ndarray], count: np.ndarray, unfinished: np.ndarray) -> list[tuple[str, int, dict[int, float]]]:
+    """(unit, limit, posterior of having been cut per length) of every limit of one source, the clearest first.
+
+    lengths: per unit the length of each group of count texts. The texts at a limit are taken out of the windows before the next
+    is looked for, so that they don't give a shadow in the other unit, but stay known to exceed what lies below.
+    """
+    total, out = float(count.sum()), []
+    left = np.ones(len(count), bool)
+    while total >= 20:
+        best = (0.0, "", 0, {})
+        for unit, length in lengths.items():
+            kept = left & (length > 0)
+            x, at = np.unique(length[kept], return_inverse=True)
+            gain, limit, share = _clearest(x.astype(float), *(np.bincount(at, v[kept], len(x)) for v in (count, unfinished)), total)
+            if gain > best[0]:
+                best = gain, unit, limit, share
+        _, unit, limit, share = best
+        if not unit:
+            break
+        out.append((unit, limit, share))
+        left &= (lengths[unit] <= limit - WINDOW) | (lengths[unit] > limit)
+    return out
+
+
+def find_limit(length: np.ndarray, count: np.ndarray) -> tuple[int, dict[int, float]]:
+    """The clearest limit of lengths in one unit; (0, {}) where no limit fits better."""
+    return next((x[1:] for x in find_limits({"chars": length}, count, count)), (0, {}))
 
 
 def fit_sources(lengths: DataFrame) -> DataFrame:
     """source, unit, limit, length, posterior: lengths of a source at which values were cut, with the posterior.
 
-    lengths: source, n_chars, n_bytes. Every length is counted exactly, per source with a map-side combine; the
-    histogram that one task fits has one row per length that occurs, however many texts a source has.
+    lengths: source, n_chars, n_bytes, kind of ending. Every length is counted exactly, per source with a map-side
+    combine; one task fits a source from one row per pair of lengths that occurs.
     """
-    units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").cast("long").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").cast("long").alias("length")))
-    hist = lengths.select("source", F.inline(units)).groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
+    unfinished = F.count_if(~F.col("kind").isin("stop", "fixed")).alias("unfinished")
+    hist = lengths.groupBy("source", "n_chars", "n_bytes").agg(F.count("*").alias("n"), unfinished)
 
     def fit(f: pd.DataFrame) -> pd.DataFrame:
-        limit, share = find_limit(f["length"].to_numpy(), f["n"].to_numpy())
-        return pd.DataFrame({"source": f["source"].iloc[0], "unit": f["unit"].iloc[0], "limit": limit, "length": list(share), "posterior": list(share.values())}, columns=["source", "unit", "limit", "length", "posterior"])
+        limits = find_limits({"chars": f["n_chars"].to_numpy(), "bytes": f["n_bytes"].to_numpy()}, f["n"].to_numpy(), f["unfinished"].to_numpy())
+        rows = [(f["source"].iloc[0], unit, limit, *kv) for unit, limit, share in limits for kv in share.items()]
+        return pd.DataFrame(rows, columns=["source", "unit", "limit", "length", "posterior"])
 
-    return hist.groupBy("source", "unit").applyInPandas(fit, "source string, unit string, limit long, length long, posterior double")
+    return hist.groupBy("source").applyInPandas(fit, "source string, unit string, limit long, length long, posterior double")
 
 
 # ---- decision ----
@@ -203,7 +223,7 @@ def judge(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     finals = seen.select(F.explode("finals").alias("tail")).groupBy("tail").agg(F.count("*").alias("n_final")).filter(F.col("n_final") >= 2)
     doubtful = seen.filter(F.col("kind").isin("trail", "list", "bare")).select("tail").distinct()
     known = finals.join(doubtful, "tail", "left_semi").select("tail", F.lit(True).alias("_final"))
-    fits = fit_sources(seen.filter(F.col("kind") != "empty"))
+    fits = fit_sources(seen.filter(F.col("kind") != "empty").dropDuplicates(["source", "_copy"]))  # a text stored often is no limit
     post = cut(fits.groupBy("source", "unit", "length").agg(F.max("posterior").alias("posterior")))
     chars = post.filter(F.col("unit") == "chars").select("source", F.col("length").alias("n_chars"), F.col("posterior").alias("_pc"))
     octets = post.filter(F.col("unit") == "bytes").select("source", F.col("length").alias("n_bytes"), F.col("posterior").alias("_pb"))

@@ -66,3 +66,17 @@ def test_long_limit_reaches_its_texts(spark):
     judged = {r.doc_id: r for r in T.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
     at_limit = [i for i, t, _ in rows if 32_750 < len(t.encode()) <= 32_767]
     assert len(at_limit) > 15 and all(judged[i].posterior > 0.5 for i in at_limit)
+
+
+def test_every_limit_is_found():
+    """A limit that the mode of a large source outnumbers, and one that only some texts meet."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.exp(rng.normal(5.5, 0.8, 60_000)).astype(int) + 1
+    x[:1500] = np.minimum(np.exp(rng.normal(6, 1.2, 1500)).astype(int) + 1, 900)
+    x = np.minimum(x, 4000)
+    ends_open = (x == 4000) | (x == 900)
+    length, at = np.unique(x, return_inverse=True)
+    found = {limit: share for _, limit, share in T.find_limits({"chars": length}, np.bincount(at), np.bincount(at, ends_open))}
+    assert set(found) == {900, 4000} and found[900][900] > 0.8 and found[4000][4000] > 0.8
