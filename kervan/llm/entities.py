@@ -1,10 +1,11 @@
 """Linking the spellings of names typed by people.
 
 A typed product name is read into a brand and its marks (addition, strength, form); a typed ingredient into a base
-and a salt. Brands are resolved by merging and matching again: profiles that share a blocking key (a spelling with
-up to two letters left out) and hold spellings within two edits are merged, a merged profile owns the union of its
-members' spellings and initials, and with those it enters the blocking again; rounds go on until none merges.
-Initials ("Hazuk." for Hazukson) join the profile that has a spelling they begin, among products of the same marks.
+and a salt. Spellings that share a blocking key (a spelling with up to two letters left out) and lie within two edits
+are linked; a profile is a connected class of them, so no later round could merge more by spellings.
+Initials ("Hazuk." for Hazukson) join the profile that has a spelling they begin, among products of the same marks;
+where none of those has one, the only profile of any marks that has; where none has, the only longest initials of the
+same marks that begin like them. Initials that fit several stay apart, and edits within initials aren't matched.
 """
 
 from __future__ import annotations
@@ -131,22 +132,20 @@ def resolve_names(df: DataFrame, key: str, name: str) -> DataFrame:
     near = keyed.alias("x").join(keyed.alias("y"), "_k").filter(F.col("x.brand") < F.col("y.brand")).select(F.col("x.brand").alias("a"), F.col("y.brand").alias("b")).distinct()
     edges = cut(near.filter(_alike("a", "b")))
     profile = cut(full.join(components(edges).withColumnRenamed("node", "brand"), "brand", "left").select("brand", F.coalesce("label", "brand").alias("label")))
-    owner = None
-    while True:
-        # merged profiles own all spellings; with them initials are matched among products of the same marks
-        products = spelled.filter(~F.col("initials")).join(profile, "brand").select("brand", "label", "marks")
-        if owner is not None:
-            products = products.unionByName(owner.select(F.col("stem").alias("brand"), "label", "marks"))
-        stems = products.filter(F.length("brand") > INITIALS).select("label", "marks", F.explode(F.transform(F.sequence(F.lit(INITIALS), F.length("brand") - 1), lambda i: F.substring(F.col("brand"), F.lit(1), i))).alias("stem"))
-        # a profile's spellings count wherever it has a product of those marks
-        wider = profile.filter(F.length("brand") > INITIALS).select("label", F.explode(F.transform(F.sequence(F.lit(INITIALS), F.length("brand") - 1), lambda i: F.substring(F.col("brand"), F.lit(1), i))).alias("stem"))
-        wider = wider.join(short.select("stem").distinct(), "stem", "left_semi").distinct().join(products.select("label", "marks").distinct(), "label").select("label", "marks", "stem")
-        hits = short.join(stems.unionByName(wider).distinct(), ["stem", "marks"]).groupBy("stem", "marks").agg(F.min("label").alias("label"), F.count("*").alias("n"))
-        new = cut(hits.filter(F.col("n") == 1).select("stem", "marks", "label"))
-        merged = new.count()
-        if owner is not None and merged == known:
-            break
-        owner, known = new, merged
+    prefixes = F.transform(F.sequence(F.lit(INITIALS), F.length("brand") - 1), lambda i: F.substring(F.col("brand"), F.lit(1), i))
+    products = spelled.filter(~F.col("initials")).join(profile, "brand").select("label", "marks").distinct()
+    begun = cut(profile.filter(F.length("brand") > INITIALS).select("label", F.explode(prefixes).alias("stem")).join(short.select("stem").distinct(), "stem", "left_semi").distinct())
+    # a profile's spellings count wherever it has a product of those marks
+    hits = cut(short.join(begun, "stem").join(products, ["label", "marks"]).groupBy("stem", "marks").agg(F.min("label").alias("label"), F.count("*").alias("n")))
+    lone = short.join(hits, ["stem", "marks"], "left_anti")
+    whole = cut(begun.groupBy("stem").agg(F.min("label").alias("label"), F.count("*").alias("n")))
+    anywhere = lone.join(whole.filter("n = 1"), "stem").select("stem", "marks", "label")
+    # initials that begin no spelling: those that begin the only longest ones of the same marks are one with them
+    lone = cut(lone.join(whole, "stem", "left_anti"))
+    longer = cut(lone.select(F.col("stem").alias("brand"), "marks").filter(F.length("brand") > INITIALS).select("brand", "marks", F.explode(prefixes).alias("stem")).join(lone, ["stem", "marks"]))
+    tops = longer.join(longer.select(F.col("stem").alias("brand"), "marks").distinct(), ["brand", "marks"], "left_anti")
+    tops = tops.groupBy("stem", "marks").agg(F.min("brand").alias("brand"), F.count("*").alias("n")).filter("n = 1").select("stem", "marks", F.concat("brand", F.lit(".")).alias("label"))
+    owner = hits.filter("n = 1").select("stem", "marks", "label").unionByName(anywhere).unionByName(tops)
     named = rows.filter(~F.col("initials")).join(profile, "brand").select("_key", F.concat_ws("|", "label", "marks").alias("product"))
     by_initials = rows.filter("initials").join(owner.withColumnRenamed("stem", "brand"), ["brand", "marks"], "left")
     by_initials = by_initials.select("_key", F.concat_ws("|", F.coalesce("label", F.concat("brand", F.lit("."))), "marks").alias("product"))

@@ -50,3 +50,10 @@ def test_ingredients(spark):
         got.setdefault(r.id, set()).add(r.ingredient_id)
     assert got == {1: {1}, 2: {1, 2}, 4: {1}, 5: {4, 2}, 6: {3, 4}, 10: {1}, 12: {4}}
     assert E.link_ingredients(df.limit(0), "id", "v", refs).count() == 0
+
+
+def test_initials_of_different_lengths_without_a_full_name_of_their_marks(spark):
+    names = ["Hazukson 10 mg tablet", "Hazuk. 20 mg tablet", "Hazuks. 20 mg tablet", "Bel. 5 mg tablet", "Belt. 5 mg tablet", "Cor. 5 mg tablet", "Cora. 5 mg tablet", "Cort. 5 mg tablet"]
+    got = {r.id: r.product for r in E.resolve_names(spark.createDataFrame(list(enumerate(names)), "id long, name string"), "id", "name").collect()}
+    assert got[1] == got[2] != got[0] and got[3] == got[4]
+    assert len({got[5], got[6], got[7]}) == 3  # "Cor." may be either
