@@ -224,6 +224,7 @@ def fill(df: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> DataFr
     sized = df.select(F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
     pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_size") / capacity).cast("int") - 1, F.lit(0)))
     items = sized.select("_key", "_size", F.explode(pieces).alias("piece_no")).select("_key", "piece_no", F.least(F.lit(capacity), F.col("_size") - F.col("piece_no") * capacity).alias("n"))
+    items = cut(items)  # ranking reads its input twice, and what gives the sizes is far dearer than the sizes
     items = cut(_ranked(items, "n", ["_key", "piece_no"], "rank", task_slots(spark)))
     counts = {r["n"]: r["c"] for r in items.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most capacity + 1 rows
     plan = Plan(counts, capacity)
