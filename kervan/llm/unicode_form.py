@@ -24,19 +24,21 @@ PLAIN = "\\x20-\\x7e\\t\\n\\rçğıöşüÇĞİÖŞÜâîûÂÎÛäÄßéèàá
 # Letters of other scripts, and other Latin letters, with the ordinary letter each looks like.
 LOOK_ALIKE = dict(
     zip(
-        "аеіорсухѕјһԁԛԝАВЕКМНОРСТУХІЈЅҮ" + "οναιρυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ",
-        "aeiopcyxsjhdqwABEKMHOPCTYXIJSY" + "ovaipukABEZHIKMNOPTYXcj",
+        "аеіорсухѕјһԁԛԝѵүӏӀАВЕКМНОРСТУХІЈЅҮԚԜѴ" + "οναιρυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ" + "օսհոցզՕՍ" + "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ",
+        "aeiopcyxsjhdqwvylIABEKMHOPCTYXIJSYQWV" + "ovaipukABEZHIKMNOPTYXcj" + "ouhngqOU" + "ABCDEGHJKLMPRSTVWZ",
         strict=True,
     )
 )
 LATIN_LOOK_ALIKE = dict(zip("ɡɑșȘǧǦɩ", "gaşŞğĞi", strict=True))
-HYPHENS = "\u2010\u2011\ufe63\uff0d"
+HYPHENS = "\u2010\u2011\u2212\ufe63\uff0d"
 #: Blank characters other than the plain space.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Compatibility characters that ordinary writing uses or that look unlike their decomposition.
 _KEEP = set("…‥№µ¨¯´¸ªº")
 _KEEP_TAGS = {"<super>", "<sub>", "<fraction>", "<circle>"}
 _JOINERS = "\u200c\u200d"
+#: Blocks of the scripts whose letters stand in for Latin ones: Greek, Cyrillic, Armenian, Cherokee.
+_FOREIGN = "\u0370-\u03ff\u0400-\u052f\u0531-\u0587\u13a0-\u13f5\uab70-\uabbf"
 _DOT = "\u0307"
 
 
@@ -44,12 +46,22 @@ def _is_invisible(ch: str) -> bool:
     return ch in "\u034f\u115f\u1160\u3164\uffa0\u180b\u180c\u180d\u180f" or "\ufe00" <= ch <= "\ufe0f" or "\U000e0100" <= ch <= "\U000e01ef" or (ud.category(ch) in ("Cf", "Cc") and ch not in "\t\n\r\u0600\u0601\u0602\u0603\u0604\u0605\u06dd")
 
 
+def _small_capitals() -> dict[str, str]:
+    """Small capitals with the letter each is drawn like, from their names."""
+    names = ((chr(cp), ud.name(chr(cp), "")) for cp in (*range(0x250, 0x2B0), *range(0x1D00, 0x1D80), *range(0xA720, 0xA800)))
+    return {ch: n[-1].lower() for ch, n in names if re.fullmatch("LATIN LETTER SMALL CAPITAL [A-Z]", n)}
+
+
 @lru_cache(1)
 def _tables() -> tuple[dict[str, str], str]:
-    """(fold of single characters, class of unstable characters), from the Unicode data itself."""
-    fold: dict[str, str] = {c: " " for c in SPACES} | {c: "-" for c in HYPHENS} | LATIN_LOOK_ALIKE
-    unstable = set(fold)
-    for cp in range(0xA0, 0x30000):
+    """(fold of single characters, class of unstable characters), from the Unicode data itself.
+
+    Unstable are, besides what is folded or invisible, the characters whose quick check for the composed form isn't
+    "yes": marks, what another stored form stands for, and whatever ends a canonical pair, marks or not.
+    """
+    fold: dict[str, str] = {c: " " for c in SPACES} | {c: "-" for c in HYPHENS} | _small_capitals() | LATIN_LOOK_ALIKE
+    unstable = {*fold, *map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))}  # the jamo that compose by rule
+    for cp in (*range(0xA0, 0x30000), *range(0xE0000, 0xE0200)):
         ch = chr(cp)
         if 0xD800 <= cp <= 0xDFFF or 0xAC00 <= cp <= 0xD7A3:
             continue
@@ -64,6 +76,8 @@ def _tables() -> tuple[dict[str, str], str]:
         if not d.startswith("<"):
             if ud.normalize("NFC", ch) != ch:
                 unstable.add(ch)
+            elif " " in d:
+                unstable.add(chr(int(d.split()[1], 16)))
         elif d.split()[0] not in _KEEP_TAGS and not 0x0E00 <= cp <= 0x0FFF and not 0x3130 <= cp <= 0x318F:
             flat = ud.normalize("NFKC", ch)
             if not flat.startswith(" ") and flat != ch:
@@ -90,7 +104,7 @@ def _char_class(chars: set[str]) -> str:
 def _patterns():
     fold, unstable = _tables()
     segment = re.compile(f"(?:(?=[^{PLAIN}]){unstable})+")
-    return fold, segment, re.compile("[\\u0370-\\u03ff\\u0400-\\u052f]")
+    return fold, segment, re.compile(f"[{_FOREIGN}]")
 
 
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}、。〈-】〔-〛]")
@@ -121,6 +135,8 @@ def _segment(text: str, start: int, end: int, fold: dict[str, str]) -> tuple[str
         elif _is_invisible(ch):
             before, after = text[i - 1 : i], text[i + 1 : i + 2]
             own = (ch in _JOINERS and (_JOINING.match(before) or _EMOJI.match(before) and _EMOJI.match(after))) or ("︀" <= ch <= "️" and _EMOJI.match(before))
+            own = own or "\U000e0100" <= ch <= "\U000e01ef" and _CJK.match(before)  # the variant of an ideograph
+            own = own or "\U000e0020" <= ch <= "\U000e007f" and out and (out[-1] == "\U0001f3f4" or "\U000e0020" <= out[-1] <= "\U000e007f")  # the letters of a flag
             if own:
                 out.append(ch)
             else:
@@ -131,6 +147,8 @@ def _segment(text: str, start: int, end: int, fold: dict[str, str]) -> tuple[str
     composed = ud.normalize("NFC", piece)
     if len(composed) < len(piece) or any(ud.combining(c) == 0 and c not in piece for c in composed):
         found = True
+    if any(c in LATIN_LOOK_ALIKE for c in composed):  # made by the composition
+        composed, found = ud.normalize("NFC", "".join(LATIN_LOOK_ALIKE.get(c, c) for c in composed)), True
     if _DOT in composed and "i" + _DOT in composed:
         composed, found = composed.replace("i" + _DOT, "i"), True
     return composed, found
@@ -139,7 +157,7 @@ def _segment(text: str, start: int, end: int, fold: dict[str, str]) -> tuple[str
 _LATIN = regex.compile(r"\p{Latin}")
 _LATIN_WORD = regex.compile(r"\p{Latin}{2,}")
 _GREEK = regex.compile(r"\p{Greek}")
-_OWN = re.compile("[\u0370-\u03ff\u0400-\u052f]{2,}")
+_OWN = re.compile(f"[{_FOREIGN}]{{2,}}")
 #: Greek letters that stand as symbols before a Latin letter or alone, as in "β1" or "μg".
 _SYMBOLS = "αβγδεκλμπσω"
 

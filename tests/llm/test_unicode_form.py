@@ -11,7 +11,7 @@ CASES = {
     "Busi̇lofet": "Busilofet", "Α‑tokoferol": "Α-tokoferol", "25 mg ﬁlm 5 ㎎": "25 mg film 5 mg", "ＫＧ（５）": "KG(5)", "a　b": "a b",
     "görme": "görme", "gіdа": "gida", "Kan": "Kan", "İlaç": "İlaç", "eșlik mɡ": "eşlik mg", "gӧrme": "görme", "Μ 25 mg": "M 25 mg",
 }
-ORDINARY = ["şurup İlaç ı", "Α-tokoferol 40 μg β-blokör α-", "睡前服用时，药物剂量 250mg。“是！”，5mg", "Во время поездки в 3 часа", "½ m² 25 °C ® ≥ 6 … “x” ‘y’", "ο αριθμός να", "老年人　半片", "क्‍ष", "🙏 👩‍👩‍👧", "", " \t\n", "Größe naïve"]
+ORDINARY = ["şurup İlaç ı", "Α-tokoferol 40 μg β-blokör α-", "睡前服用时，药物剂量 250mg。“是！”，5mg", "Во время поездки в 3 часа", "½ m² 25 °C ® ≥ 6 … “x” ‘y’", "ο αριθμός να", "老年人　半片", "क्‍ष", "🙏 👩‍👩‍👧", "\U0001f3f4\U000e0067\U000e0062\U000e007f", "葛\U000e0100", "Կարգ օր", "", " \t\n", "Größe naïve"]
 
 
 def test_cases():
@@ -30,6 +30,18 @@ def test_idempotent_and_composed(text):
     assert ud.is_normalized("NFC", form)
 
 
+def test_every_canonical_pair_is_composed():
+    """Every character with a canonical decomposition, and every mark, in four surroundings: composed, and stable from then on."""
+    for cp in range(0xA0, 0x110000):
+        ch = chr(cp)
+        d = ud.decomposition(ch)
+        if not (ud.combining(ch) or d and not d.startswith("<")):
+            continue
+        for text in (ch, ud.normalize("NFD", ch), f"a{ch}", f"x{ud.normalize('NFD', ch)}\u0323", f"{ch}\u0301"):
+            form = consistent(text)[0]
+            assert ud.is_normalized("NFC", form) and consistent(form)[0] == form, ascii(text)
+
+
 def test_column(spark):
     rows = [(1, k, "x") for k in CASES] + [(2, t, None) for t in ORDINARY] + [(3, None, "y"), (4, "ａ" * 50_000, "z")]
     df = spark.createDataFrame(rows, "id int, t string, disguised string")
