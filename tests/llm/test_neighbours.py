@@ -41,12 +41,46 @@ def test_small(spark):
     assert run(spark, [1, 2], np.ones((2, 4))) == {1: [2], 2: [1]}
 
 
-def test_full_cells_are_cut():
-    rng = np.random.default_rng(5)
-    sample = (rng.normal(size=(4000, 8)) + 3).astype(np.float32)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    h = N.Hash(sample, 3_000_000)
-    assert h.depth.max() > 0
-    keys = h.buckets(sample[:500])
-    assert keys.shape == (500, N.PROBES) and (keys[:, 0] >= 0).all()
-    assert all(len({x for x in r if x >= 0}) == (r >= 0).sum() for r in keys)
+def clustered(n=2500, d=16, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(60, d))
+    return rng.permutation(4 * n)[:n], centres[rng.integers(0, 60, n)] + rng.normal(size=(n, d)) * rng.choice([0.2, 0.6, 1.2], n)[:, None]
+
+
+def recall(want, got):
+    return np.mean([len(set(w) & set(got.get(i, ()))) / len(w) for i, w in want.items()])
+
+
+def test_full_cells_take_more_functions_and_keep_recall(spark):
+    ids, v = clustered()
+    sample = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    for full in (40, 80):
+        h = N.Hash(sample, len(sample), full=full)
+        assert max(t.depth.max() for t in h.tables) > 1
+        assert recall(brute(ids, v, 5), run(spark, ids, v, full=full)) >= 0.9
+
+
+def test_every_bucket_has_a_function_and_probes_are_ordered():
+    _, v = clustered()
+    sample = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    for t in N.Hash(sample, 2500).tables:
+        assert (t.depth >= 1).all()
+        own, moved = t.buckets(sample), t.buckets(sample + t.a[0] * t.width)
+        assert own.shape == (2500, N.PROBES) and (own[:, 0] != moved[:, 0]).mean() > 0.5
+
+
+def test_split_buckets_lose_no_pair(spark):
+    ids, v = clustered(900)
+    v[:300] = v[0] + np.random.default_rng(1).normal(size=(300, 16)) * 0.05  # a third of all in one cell
+    want = brute(ids, v, 5)
+    plain, tiled = run(spark, ids, v), run(spark, ids, v, split=40)
+    assert plain == tiled
+    assert recall(want, plain) >= 0.9
+
+
+def test_every_list_is_filled(spark):
+    ids, v = clustered(400)
+    v[::20] = np.random.default_rng(2).normal(size=(20, 16)) * 5  # vectors alone in their cells
+    got = run(spark, ids, v, probes=1, tables=1)
+    assert all(len(got[int(i)]) == 5 for i in ids)
+    assert {len(x) for x in run(spark, [1, 2, 3], np.eye(3, 4)).values()} == {2}
