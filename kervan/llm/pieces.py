@@ -1,21 +1,22 @@
 """Cutting oversized values into overlapping pieces at natural boundaries.
 
-A long value, or a file that fits no memory, is worked off in ranges: each range, read with a halo on both sides,
-gives the boundaries inside it; the per-range boundary tables are stitched by the prefix sum of the range lengths;
-the cutting plan is made from that table alone, and pieces are emitted by offset. No worker holds a whole file.
+A value, or a file that fits no memory, is worked off in ranges: each range, read with a halo on both sides, gives the
+boundaries inside it as offsets of the whole; the boundary tables of neighbouring ranges are stitched; the cutting
+plan is made from these tables alone, pieces are numbered by a prefix sum and emitted by offset. No worker holds a
+whole file; a value is split where it is read, and its ranges travel on their own.
 Positions count code points (table values) or bytes (files).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kervan.session import task_slots
+
 LIMIT, OVERLAP = 1200, 100
 #: Code points of a value, or bytes of a file, that one worker looks at; a boundary never spans more than HALO.
 RANGE, HALO = 65_536, 64
@@ -53,8 +54,9 @@ def _hard(at: np.ndarray, rank: np.ndarray, low: int, high: int) -> int:
 
 def anchor(at: np.ndarray, rank: np.ndarray, begin: int, stop: int, limit: int) -> int:
     """Where the pieces of a range that isn't the last one end: its best boundary within the last `limit` positions."""
-    ok = (at > max(begin, stop - limit)) & (rank > UNSAFE)
-    return int(at[ok][rank[ok] == rank[ok].max()][-1]) if ok.any() else _hard(at, rank, begin, stop)
+    low = max(begin, stop - limit)
+    ok = (at > low) & (rank > UNSAFE)
+    return int(at[ok][rank[ok] == rank[ok].max()][-1]) if ok.any() else _hard(at, rank, low, stop)
 
 
 def plan(begin: int, stop: int, at: np.ndarray, rank: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
@@ -94,71 +96,85 @@ def _check(limit: int, overlap: int) -> None:
         raise ValueError("limit must be 2 or more and overlap at most half of it")
 
 
-def _stitched(tables: DataFrame, keys: list[str], limit: int, overlap: int) -> DataFrame:
-    """keys, piece_no, start, fresh, end from per-range tables (keys, _i, _begin, _stop, _last, at, rank).
+def _stitched(tables: DataFrame, key: str, limit: int, overlap: int) -> DataFrame:
+    """tables plus _pieces (of each range) and _before, the pieces of the ranges before it.
 
-    A range needs the table of the range before it and nothing else; piece numbers are a prefix sum of counts.
+    tables: key, _i, _begin, _stop, _last, at, rank, more. A range needs the end of the boundary table of the range
+    before it and nothing else; piece numbers are a prefix sum of counts.
     """
 
-    @F.pandas_udf("bigint")
-    def ends(at: pd.Series, rank: pd.Series, begin: pd.Series, stop: pd.Series, last: pd.Series) -> pd.Series:
-        return pd.Series([b1 if z else anchor(np.asarray(a), np.asarray(r), b0, b1, limit) for a, r, b0, b1, z in zip(at, rank, begin, stop, last, strict=True)])
+    @F.pandas_udf("struct<end:bigint,at:array<bigint>,rank:array<int>>")
+    def ends(at: pd.Series, rank: pd.Series, begin: pd.Series, stop: pd.Series, last: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, r, b0, b1, z in zip(at, rank, begin, stop, last, strict=True):
+            a, r = np.asarray(a, np.int64), np.asarray(r, np.int64)
+            tail = a > b1 - limit - overlap - 1
+            rows.append((b1 if z else anchor(a, r, b0, b1, limit), a[tail], r[tail]))
+        return pd.DataFrame(rows, columns=["end", "at", "rank"])
 
     @F.pandas_udf(_PIECES)
-    def pieces(at: pd.Series, rank: pd.Series, end: pd.Series, p_at: pd.Series, p_rank: pd.Series, p_end: pd.Series) -> pd.Series:
+    def pieces(at: pd.Series, rank: pd.Series, end: pd.Series, before: pd.DataFrame) -> pd.Series:
         out = []
-        for a, r, e, pa_, pr, pe in zip(at, rank, end, p_at, p_rank, p_end, strict=True):
-            first = pe is None or pd.isna(pe)
-            a, r = (np.asarray(a), np.asarray(r)) if first else (np.concatenate([pa_, a]), np.concatenate([pr, r]))
-            out.append([dict(start=x, fresh=y, end=z) for x, y, z in plan(0 if first else int(pe), int(e), a.astype(np.int64), r, limit, overlap)])
-        return pd.Series(out)
+        for a, r, e, b1, pa_, pr in zip(at, rank, end, before["end"], before["at"], before["rank"], strict=True):
+            first = b1 is None or pd.isna(b1)
+            a, r = (np.asarray(a, np.int64), np.asarray(r, np.int64)) if first else (np.concatenate([pa_, a]).astype(np.int64), np.concatenate([pr, r]).astype(np.int64))
+            out.append([dict(start=x, fresh=y, end=z) for x, y, z in plan(0 if first else int(b1), int(e), a, r, limit, overlap)])
+        return pd.Series(out, dtype=object)
+
+    w = Window.partitionBy(key).orderBy("_i")
+    t = tables.withColumn("_e", ends("at", "rank", "_begin", "_stop", "_last"))
+    t = t.withColumn("_p", F.lag("_e").over(w)).withColumn("_pieces", pieces("at", "rank", "_e.end", F.struct("_p.end", "_p.at", "_p.rank")))
+    return t.withColumn("_before", F.coalesce(F.sum(F.size("_pieces")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("at", "rank", "_e", "_p")
 
-    w = Window.partitionBy(*keys).orderBy("_i")
-    t = tables.withColumn("_end", ends("at", "rank", "_begin", "_stop", "_last"))
-    t = t.withColumns({f"_p{c}": F.lag(c).over(w) for c in ("at", "rank", "_end")})
-    t = t.withColumn("_pieces", pieces("at", "rank", "_end", "_pat", "_prank", "_p_end"))
-    t = t.withColumn("_before", F.coalesce(F.sum(F.size("_pieces")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return t.select(*keys, "_before", F.posexplode("_pieces").alias("_k", "_p")).select(*keys, (F.col("_before") + F.col("_k")).cast("int").alias("piece_no"), "_p.start", "_p.fresh", "_p.end")
+
+def ranges_of(text: Column, size: int, before: int, after: int) -> Column:
+    """Array of (part, low): a value's ranges of `size` code points, each with the end of the range before it and the beginning of the next; low is the position of a part's first code point. One pass over the value."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+    def one(x: Column, i: Column) -> Column:
+        head = F.coalesce(F.get(parts, i - 1), F.lit(""))
+        head = F.substring(head, F.lit(1) + F.greatest(F.length(head) - before, F.lit(0)), F.lit(before))
+        next_ = F.substring(F.coalesce(F.get(parts, i + 1), F.lit("")), 1, after)
+        return F.struct(F.concat(head, x, next_).alias("part"), (i.cast("bigint") * size - F.length(head)).alias("low"))
+
+    return F.transform(parts, one)
 
 
 def cut_values(df: DataFrame, text: str, keys: list[str], limit: int = LIMIT, overlap: int = OVERLAP, span: int = RANGE) -> DataFrame:
     """keys + piece_no (from 0), start_pos, fresh_pos, end_pos, piece, of every value longer than limit.
 
-    Null, empty and short values give no rows. keys identify a row, may not be null and may not repeat; other columns don't travel,
-    whatever they are called. A piece has at most `limit` code points; joined from fresh_pos on, the pieces are the
-    value. Values up to `span` are planned where they are; longer ones by ranges, on different workers.
+    Null, empty and short values give no rows. A repeated row gives its pieces again, null keys are keys like others;
+    columns besides keys and text don't travel, whatever they are called. A piece has at most `limit` code points;
+    joined from fresh_pos on, the pieces are the value. Every value is planned by ranges of `span`, in most values one:
+    the pieces of a range end at its best boundary near its end, so that ranges are planned on different workers; each
+    travels with the end of the range before it, and no row holds more than a range. A run of blanks above HALO at
+    a range's end counts as far as the halo shows it.
     """
     _check(limit, overlap)
-    long = df.select(*keys, F.col(text).alias("_t")).filter(F.length("_t") > limit)
-
-    @F.pandas_udf(_PIECES)
-    def whole(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            at, rank = boundaries(t, 0, len(t))
-            out.append([dict(start=x, fresh=y, end=z) for x, y, z in plan(0, len(t), at, rank, limit, overlap)])
-        return pd.Series(out)
+    before = limit + overlap + HALO
+    long = df.select(F.struct(*keys).alias("_keys"), F.col(text).alias("_t")).filter(F.length("_t") > limit).withColumn("_row", F.monotonically_increasing_id())
 
     @F.pandas_udf("struct<at:array<bigint>,rank:array<int>>")
-    def scan(part: pd.Series, before: pd.Series, size: pd.Series, offset: pd.Series) -> pd.DataFrame:
+    def scan(part: pd.Series, low: pd.Series, begin: pd.Series, stop: pd.Series) -> pd.DataFrame:
         rows = []
-        for p, b, n, o in zip(part, before, size, offset, strict=True):
-            at, rank = boundaries(p, b, b + n)
-            rows.append(((at - b + o).tolist(), rank.tolist()))
+        for p, o, b, e in zip(part, low, begin, stop, strict=True):
+            skip = max(0, b - o - HALO)
+            at, rank = boundaries(p[skip:], b - o - skip, e - o - skip)
+            rows.append((at + o + skip, rank))
         return pd.DataFrame(rows, columns=["at", "rank"])
 
-    small = long.filter(F.length("_t") <= span).select(*keys, "_t", F.posexplode(whole("_t")).alias("piece_no", "_p")).select(*keys, "_t", "piece_no", "_p.start", "_p.fresh", "_p.end")
-    big = long.filter(F.length("_t") > span)
-    n = F.length("_t")
-    r = big.select(*keys, n.alias("_n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / span).cast("int"))).alias("_i"), "_t").withColumn("_begin", F.col("_i") * span)
-    r = r.withColumns({"_stop": F.least(F.col("_begin") + span, F.col("_n")), "_low": F.greatest(F.col("_begin") - HALO, F.lit(0))})
-    r = r.select(*keys, "_i", "_begin", "_stop", (F.col("_stop") == F.col("_n")).alias("_last"), "_low", F.substring("_t", F.col("_low") + 1, F.col("_stop") - F.col("_low") + HALO).alias("_part"))
-    r = r.repartition(*keys, "_i").withColumn("_b", scan("_part", F.col("_begin") - F.col("_low"), F.col("_stop") - F.col("_begin"), "_begin"))
-    plans = _stitched(r.select(*keys, "_i", "_begin", "_stop", "_last", "_b.at", "_b.rank"), keys, limit, overlap)
-    rows = small.unionByName(plans.join(big, keys).select(*small.columns))
-    return rows.select(
-        *keys, "piece_no", F.col("start").alias("start_pos"), F.col("fresh").alias("fresh_pos"), F.col("end").alias("end_pos"),
-        F.substring("_t", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("piece"),
+    @F.pandas_udf("array<string>")
+    def emit(part: pd.Series, low: pd.Series, pieces: pd.Series) -> pd.Series:
+        return pd.Series([[t[p["start"] - o : p["end"] - o] for p in ps] for t, o, ps in zip(part, low, pieces, strict=True)], dtype=object)
+
+    r = long.select("_keys", "_row", F.length("_t").cast("bigint").alias("_n"), F.posexplode(ranges_of(F.col("_t"), span, before, HALO)).alias("_i", "_x"))
+    r = r.select("_keys", "_row", "_i", F.col("_x.part").alias("_part"), F.col("_x.low").alias("_low"), (F.col("_i").cast("bigint") * span).alias("_begin"), F.least((F.col("_i").cast("bigint") + 1) * span, F.col("_n")).alias("_stop"), "_n")
+    r = r.withColumns({"_last": F.col("_stop") == F.col("_n"), "_b": scan("_part", "_low", "_begin", "_stop")}).withColumns({"at": F.col("_b.at"), "rank": F.col("_b.rank")})
+    done = _stitched(r.drop("_b", "_n"), "_row", limit, overlap).withColumn("_texts", emit("_part", "_low", "_pieces"))
+    out = done.select("_keys", "_before", F.posexplode(F.arrays_zip(F.col("_pieces").alias("p"), F.col("_texts").alias("t"))).alias("_k", "_x"))
+    return out.select(
+        *[F.col("_keys")[k].alias(k) for k in keys], (F.col("_before") + F.col("_k")).cast("int").alias("piece_no"),
+        F.col("_x.p.start").alias("start_pos"), F.col("_x.p.fresh").alias("fresh_pos"), F.col("_x.p.end").alias("end_pos"), F.col("_x.t").alias("piece"),
     )
 
 
@@ -194,32 +210,36 @@ def _byte_table(data: bytes, low: int, begin: int, stop: int) -> tuple[list[int]
 
 
 def cut_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, span: int = RANGE) -> DataFrame:
-    """path, piece_no, start_pos, fresh_pos, end_pos, piece of UTF-8 files on storage all workers reach; sizes are bytes.
+    """path, piece_no, start_pos, fresh_pos, end_pos, piece of UTF-8 files, or all files of folders, on storage all workers reach; sizes are bytes.
 
-    Ranges are read with a halo and planned like long values; pieces are read again by offset. Empty files give no row.
+    Ranges are read with a halo and planned like those of values; each is read once more for its pieces, which are
+    emitted by offset. The list of files is a scan that reads no contents. Empty files give no row.
     """
     _check(limit, overlap)
-    sizes = [(p, _open(p)[1]) for p in paths]
-    files = spark.createDataFrame(sizes, "path string, size bigint").filter(F.col("size") > 0)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", F.col("length").alias("size")).filter(F.col("size") > 0)
     r = files.select("path", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / span).cast("int"))).alias("_i"))
-    r = r.repartition("path", "_i").withColumn("_begin", F.col("_i").cast("bigint") * span)
+    r = r.repartition(task_slots(spark), "path", "_i").withColumn("_begin", F.col("_i").cast("bigint") * span)
     r = r.withColumns({"_stop": F.least(F.col("_begin") + span, F.col("size"))}).withColumn("_last", F.col("_stop") == F.col("size"))
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for x in f.itertuples(index=False):
-                low = max(0, x._2 - HALO * 4)
-                at, rank = _byte_table(_bytes(x.path, low, x._3 + HALO * 4), low, x._2, x._3)
-                rows.append((x.path, x._1, x._2, x._3, x._4, at, rank))
-            yield pd.DataFrame(rows, columns=["path", "_i", "_begin", "_stop", "_last", "at", "rank"])
-
-    tables = r.select("path", "_i", "_begin", "_stop", "_last").mapInPandas(scan, "path string, _i int, _begin bigint, _stop bigint, _last boolean, at array<bigint>, rank array<int>")
-
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["piece"] = [_bytes(p, s, e).decode("utf-8", "replace") for p, s, e in zip(f["path"], f["start_pos"], f["end_pos"], strict=True)]
-            yield f
+    @F.pandas_udf("struct<at:array<bigint>,rank:array<int>>")
+    def scan(path: pd.Series, begin: pd.Series, stop: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, b, e in zip(path, begin, stop, strict=True):
+            low = max(0, b - HALO * 4)
+            rows.append(_byte_table(_bytes(p, low, e + HALO * 4), low, b, e))
+        return pd.DataFrame(rows, columns=["at", "rank"])
 
-    plans = _stitched(tables, ["path"], limit, overlap).select("path", "piece_no", F.col("start").alias("start_pos"), F.col("fresh").alias("fresh_pos"), F.col("end").alias("end_pos"))
-    return plans.mapInPandas(emit, "path string, piece_no int, start_pos bigint, fresh_pos bigint, end_pos bigint, piece string")
+    @F.pandas_udf("array<string>")
+    def emit(path: pd.Series, pieces: pd.Series) -> pd.Series:
+        out = []
+        for p, ps in zip(path, pieces, strict=True):
+            low = ps[0]["start"] if len(ps) else 0
+            data = _bytes(p, low, ps[-1]["end"]) if len(ps) else b""
+            out.append([data[x["start"] - low : x["end"] - low].decode("utf-8", "replace") for x in ps])
+        return pd.Series(out, dtype=object)
+
+    r = r.withColumn("_b", scan("path", "_begin", "_stop")).select("path", "_i", "_begin", "_stop", "_last", "_b.at", "_b.rank")
+    done = _stitched(r, "path", limit, overlap)
+    done = done.repartition(task_slots(spark), "path", "_i").withColumn("_texts", emit("path", "_pieces"))
+    out = done.select("path", "_before", F.posexplode(F.arrays_zip(F.col("_pieces").alias("p"), F.col("_texts").alias("t"))).alias("_k", "_x"))
+    return out.select("path", (F.col("_before") + F.col("_k")).cast("int").alias("piece_no"), F.col("_x.p.start").alias("start_pos"), F.col("_x.p.fresh").alias("fresh_pos"), F.col("_x.p.end").alias("end_pos"), F.col("_x.t").alias("piece"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kervan.llm import containers, entities, near_copies, neighbours, pieces, sentences, tokens, truncation, unicode_form
 from kervan.functions import vector
-from kervan.session import spread
+from kervan.session import ensure_checkpoint_dir, spread, task_slots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +107,17 @@ def p4_found(spark, d):
     return p4_pieces(spark, d).filter(F.col("piece_no") == 1).select("field", "row_id")
 
 
+def p4_files(spark, d):
+    """The documents written as text files by source, and each file cut by byte ranges."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/files-{uuid.uuid4().hex}"
+    docs = read(spark, d, "documents", "doc_id", "text", "source").filter(F.col("text").isNotNull()).withColumn("part", F.floor(F.col("doc_id") / 50_000))
+    placed = docs.repartition(task_slots(spark), "source", "part").sortWithinPartitions("source", "part", "doc_id")
+    placed.select("text", "source", "part").write.partitionBy("source", "part").text(folder)
+    at = [F.regexp_extract("path", f"{name}=([^/]*)/", 1).alias(name) for name in ("source", "part")]
+    return pieces.cut_files(spark, [folder]).select(*at, "piece_no", "start_pos", "fresh_pos", "end_pos", F.md5("piece").alias("digest"))
+
+
 def p5_products(spark, d):
     """medicine_id, product: rows of one product, however typed, share the value."""
     return entities.resolve_names(read(spark, d, "medicines", "medicine_id", "medicine_name"), "medicine_id", "medicine_name")
@@ -154,4 +166,4 @@ def p9_sources(spark, d):
     return truncation.report(_judged(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_classes, p3_found, p3_neighbours, p4_found, p4_pieces, p5_found, p5_products, p6_found, p7_ids, p8_containers, p8_usage, p9_found, p9_sources)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_classes, p3_found, p3_neighbours, p4_found, p4_pieces, p4_files, p5_found, p5_products, p6_found, p7_ids, p8_containers, p8_usage, p9_found, p9_sources)}

@@ -1,6 +1,6 @@
 """Encoding a corpus with a public tokenizer; long texts are encoded in parts and joined exactly.
 
-A text above PART characters is cut into halves, and so on, until the parts are small enough for one worker each.
+A text above PART characters is cut into halves, and so on, until no part is longer; the parts are encoded apart.
 Their id lists are then joined up the tree: around every join a window of tokens of both sides is encoded again and
 grown until its first and its last token are those the sides had there. Byte-pair encoding is decided by adjacent
 pairs, so from there outwards both sides are what encoding the whole text gives.
@@ -9,16 +9,19 @@ pairs, so from there outwards both sides are what encoding the whole text gives.
 from __future__ import annotations
 
 import base64
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kervan.session import task_slots
+
 #: Folder of the public vocabularies; every worker reads it from its own disk.
 FOLDER, NAME = "/opt/tokenizers", "byte_bpe_50k"
-#: Most characters of a part.
-PART = 100_000
+#: Most characters of a part; longer texts are encoded in parts.
+PART = 8_192
 #: Fixed value: how the vocabulary's public pre-tokenizer splits text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LOADED: dict = {}
@@ -35,8 +38,6 @@ def encoder(folder: str = FOLDER, name: str = NAME):
     return _LOADED[folder, name]
 
 
-
-
 def _tail(enc, ids: list[int], n: int) -> tuple[int, str]:
     """(k, text) of the last k >= n tokens of ids that start at a character."""
     k = min(n, len(ids))
@@ -96,27 +97,32 @@ def _encode_udf(folder: str, name: str):
 
 
 def encode_texts(df: DataFrame, key: str, text: str, folder: str = FOLDER, name: str = NAME, part: int = PART) -> DataFrame:
-    """key, ids: one row per row of df; empty and null texts have an empty list. key identifies a row.
+    """key, ids: one row per row of df; empty and null texts have an empty list. key identifies a row, or not: a
+    repeated row gives its ids again, a null key is a key like others, columns of any name don't matter.
 
-    Texts above `part` characters are encoded in parts by several workers and joined exactly; repeated rows and
-    columns of any name don't matter.
-    A repeated row gives its ids again.
+    Texts above `part` characters are halved until no part is longer; the parts are encoded apart, and neighbours are
+    joined exactly, level by level of the tree, each level on as many workers as it has joins.
     """
     encode = _encode_udf(folder, name)
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    short = rows.filter(F.coalesce(F.length("_text") <= part, F.lit(True))).select("_key", encode("_text").alias("ids"))
+    n = F.length("_text")
+    short = rows.filter(F.coalesce(n <= part, F.lit(True))).select("_key", encode("_text").alias("ids"))
 
     @F.pandas_udf("array<int>")
-    def whole(parts: pd.Series) -> pd.Series:
+    def both(parts: pd.Series) -> pd.Series:
         enc = encoder(folder, name)
-        return pd.Series([np.asarray(tree(enc, [list(map(int, x["ids"])) for x in p]), np.int32) for p in parts], dtype=object)
-
-    n = F.length("_text")
-    long = rows.filter(n > part).withColumn("_parts", F.expr(f"shiftleft(1, cast(ceil(log2(length(_text) / {part}D)) as int))"))
-    leaf = long.select("_key", "_parts", n.alias("_n"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_i"), "_text")
-    low = F.floor(F.col("_n") * F.col("_i") / F.col("_parts")).cast("int")
-    high = F.floor(F.col("_n") * (F.col("_i") + 1) / F.col("_parts")).cast("int")
-    leaf = leaf.select("_key", "_i", F.substring("_text", low + 1, high - low).alias("_part")).repartition("_key", "_i")
-    leaf = leaf.select("_key", F.struct("_i", encode("_part").alias("ids")).alias("_p"))
-    joined = leaf.groupBy("_key").agg(F.array_sort(F.collect_list("_p")).alias("_all")).select("_key", whole("_all").alias("ids"))
-    return short.unionByName(joined).withColumnRenamed("_key", key)
+        return pd.Series([np.asarray(tree(enc, [x["ids"].tolist() for x in p]), np.int32) for p in parts], dtype=object)
+
+    long = rows.filter(n > part).withColumns({"_row": F.monotonically_increasing_id(), "_level": F.ceil(F.log2(n / F.lit(float(part)))).cast("int")})
+    longest = rows.agg(F.max(n)).first()[0] or 0
+    levels = max(0, math.ceil(math.log2(longest / part))) if longest > part else 0
+    if not levels:
+        return short.withColumnRenamed("_key", key)
+    size = F.ceil(n / F.pow(F.lit(2.0), "_level")).cast("int")  # of a part, so that there are 2 ** _level of them at most
+    split = F.expr("regexp_extract_all(_text, concat('(?s).{1,', cast(_size as string), '}'), 0)")
+    leaf = long.withColumn("_size", size).select("_key", "_row", F.posexplode(split).alias("_i", "_part"))
+    leaf = leaf.repartition(task_slots(df.sparkSession), "_row", "_i").select("_key", "_row", "_i", encode("_part").alias("ids"))
+    for _ in range(levels):  # one more level of the tree; a text that is whole already is alone in its group
+        leaf = leaf.groupBy("_row", F.shiftright("_i", 1).alias("_i")).agg(F.first("_key").alias("_key"), F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), "ids"))).alias("_two"))
+        leaf = leaf.select("_key", "_row", "_i", both("_two").alias("ids"))
+    return short.unionByName(leaf.select("_key", "ids")).withColumnRenamed("_key", key)

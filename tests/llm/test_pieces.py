@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from kervan.llm.pieces import boundaries, cut_files, cut_values, plan
+from kervan.llm.pieces import anchor, boundaries, cut_files, cut_values, plan
 
 
 def random_text(rng, n):
@@ -51,16 +51,44 @@ def test_values(spark):
     for span in (65_536, 500):  # the second plans by ranges
         check(cut_values(df, "t", ["id"], 150, 30, span).collect(), texts, 150, 30)
     assert cut_values(df.limit(0), "t", ["id"]).count() == 0
+    twice = spark.createDataFrame([(None, "z" * 400), (None, "z" * 400), (1, "ab " * 900)], "id long, t string")  # null keys and repeated rows
+    got = cut_values(twice, "t", ["id"], 150, 30, 500).collect()
+    assert sorted(r.piece_no for r in got if r.id is None) == sorted([*range(4), *range(4)]) and max(r.end_pos for r in got) == 2700
     with pytest.raises(ValueError):
         cut_values(df, "t", ["id"], 100, 60)
 
 
+def in_place(t, limit, overlap, span):
+    """The rule of ranges in one plain loop over the whole value."""
+    at, rank = boundaries(t, 0, len(t))
+    out, begin, end = [], 0, 0
+    while begin < len(t):
+        stop = min(begin + span, len(t))
+        mine = at[(at <= stop)], rank[at <= stop]
+        inside = mine[0] > begin
+        end = stop if stop == len(t) else anchor(mine[0][inside], mine[1][inside], begin, stop, limit)
+        out += plan(out[-1][2] if out else 0, end, *mine, limit, overlap)
+        begin = stop
+    return out
+
+
+def test_ranges_give_what_one_worker_gives(spark):
+    rng = random.Random(9)
+    texts = [(i, random_text(rng, rng.randrange(200, 2500))) for i in range(12)]
+    df = spark.createDataFrame(texts, "id long, t string")
+    for span in (700, 3000, 10**6):
+        got = {}
+        for r in cut_values(df, "t", ["id"], 150, 30, span).collect():
+            got.setdefault(r.id, []).append((r.start_pos, r.fresh_pos, r.end_pos))
+        assert {i: sorted(v) for i, v in got.items()} == {i: in_place(t, 150, 30, span) for i, t in texts if len(t) > 150}
+
+
 def test_files(spark, tmp_path):
     rng = random.Random(5)
     data = random_text(rng, 3000).encode()
     (tmp_path / "a.txt").write_bytes(data)
     (tmp_path / "empty.txt").write_bytes(b"")
-    rows = cut_files(spark, [str(tmp_path / "a.txt"), str(tmp_path / "empty.txt")], 200, 40, 1000).orderBy("piece_no").collect()
+    rows = cut_files(spark, [str(tmp_path)], 200, 40, 1000).orderBy("piece_no").collect()
     assert b"".join(data[r.fresh_pos : r.end_pos] for r in rows) == data
     for r in rows:
         assert r.end_pos - r.start_pos <= 200 and r.piece == data[r.start_pos : r.end_pos].decode()
