@@ -3,7 +3,7 @@
 The rules are compiled once into a table state x class -> (state, action). A character can only mark a possible end
 (action MARK), and a later one confirms it (action END, at the last mark) or breaks at once (action BREAK, a line
 end). Long values are cut into blocks: a block is first run from every state at once, which gives a function from
-states to states; the functions are composed by a prefix scan, and each block is then run from its true state.
+states to states; the functions are composed by a parallel prefix scan, and each block is then run from its true state.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Code points of a block; values up to this size are run in one go.
-BLOCK = 32_768
+from kervan.session import cut, task_slots
+
+#: Code points of a block, and blocks of a group; values up to one block are run in one go.
+BLOCK, GROUP = 2_048, 256
 
 # Words that a full stop shortens and no sentence ends with, as typed and in lower case.
 ABBREVIATIONS = (
@@ -274,12 +276,17 @@ def run(text: str, state: int = 0) -> tuple[int, list[int], int]:
 
 
 def block_function(text: str) -> np.ndarray:
-    """Where a block leads from every state: the composition of its characters' moves."""
-    codes, _, _, _, nxt = _machine()
+    """Where a block leads from every state: the composition of its characters' moves. States that have met stay one."""
+    codes, step, _, _, nxt = _machine()
     f = np.arange(len(nxt))
-    for ch in text:
-        f = nxt[f, codes[ch]]
-    return f
+    kept, place = list(range(len(nxt))), f
+    for i, ch in enumerate(text):
+        c = codes[ch]
+        kept = [step[s][c] for s in kept]
+        if i % 16 == 0 and len(kept) > 1:
+            kept, where = np.unique(kept, return_inverse=True)
+            kept, place = kept.tolist(), where[place]
+    return np.asarray(kept)[place]
 
 
 def compose(functions: list[np.ndarray]) -> list[np.ndarray]:
@@ -314,54 +321,83 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
 _SPANS = "array<struct<start_pos:bigint,end_pos:bigint>>"
 
 
-def split_sentences(df: DataFrame, text: str, keys: list[str], block: int = BLOCK) -> DataFrame:
+def split_sentences(df: DataFrame, text: str, keys: list[str], block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """keys, start_pos, end_pos: one row per sentence of every value, in code points; null and blank values give none.
 
-    keys identify a row and may not be null; a repeated row gives its sentences again; columns of any name don't matter. Values above `block` are run block by block on different
-    workers; what is gathered per value is one state function per block and its cuts.
+    A repeated row gives its sentences again, null keys are keys like others; columns of any name don't matter. Values
+    above `block` are run block by block on different workers. The block functions are composed by a scan in two
+    steps: within groups of `group` blocks, side by side, and over the groups; no task holds more than `group`
+    functions of a value, or one function per group. Sentences that reach over blocks are put together from the first
+    and last character that each block sees of them, so no task needs the whole value.
     """
-    rows = df.select(*keys, F.col(text).alias("_t")).filter(F.col("_t").isNotNull())
+    rows = df.select(F.struct(*keys).alias("_keys"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull())
+    names = [F.col("_keys")[k].alias(k) for k in keys]
 
     @F.pandas_udf(_SPANS)
     def whole(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"start_pos": a, "end_pos": b} for a, b in sentence_spans(t)] for t in texts], dtype=object)
 
-    short = rows.filter(F.length("_t") <= block).select(*keys, F.inline(whole("_t")))
-    n = F.length("_t")
-    long = rows.filter(n > block).select(*keys, "_t", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).alias("_i"))
-    long = long.select(*keys, "_i", F.substring("_t", F.col("_i") * block + 1, F.lit(block)).alias("_b")).repartition(*keys, "_i")
+    short = rows.filter(F.length("_t") <= block).select("_keys", F.inline(whole("_t"))).select(*names, "start_pos", "end_pos")
+    long = rows.filter(F.length("_t") > block).withColumn("_row", F.monotonically_increasing_id())
+    long = long.select("_keys", "_row", F.posexplode(F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))).alias("_i", "_b"))
+    long = cut(long.repartition(task_slots(df.sparkSession), "_row", "_i"))
 
     @F.pandas_udf("array<int>")
     def function(blocks: pd.Series) -> pd.Series:
         return pd.Series([block_function(b).astype(np.int32) for b in blocks], dtype=object)
 
-    @F.pandas_udf("array<int>")
-    def starts(functions: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<array<int>>")
+    def scanned(functions: pd.Series) -> pd.Series:
+        """Prefix compositions; the first is the identity, the last that of all."""
         out = []
         for fs in functions:
             done = compose([np.asarray(f) for f in fs])
-            out.append(np.asarray([0, *(int(f[0]) for f in done[:-1])], np.int32))
+            out.append([np.arange(len(done[0]), dtype=np.int32), *(f.astype(np.int32) for f in done)])
         return pd.Series(out, dtype=object)
 
+    def prefixes(d: DataFrame, by: list[str], at: str, f: str) -> DataFrame:
+        listed = d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("i"), F.col(f).alias("f")))).alias("_all"))
+        return listed.select(*by, F.col("_all.i").alias("_at"), scanned("_all.f").alias("_fs"))
+
+    inner = cut(prefixes(long.select("_row", "_i", F.floor(F.col("_i") / group).alias("_g"), function("_b").alias("_f")), ["_row", "_g"], "_i", "_f"))
+    outer = prefixes(inner.select("_row", "_g", F.element_at("_fs", -1).alias("_f")), ["_row"], "_g", "_f")
+    entry = outer.select("_row", F.inline(F.arrays_zip(F.col("_at").alias("_g"), F.transform("_fs", lambda f: f[0]).alias("_s"))))  # state in which each group begins; one more than there are groups
+    states = inner.join(entry.filter(F.col("_g").isNotNull()), ["_row", "_g"]).select("_row", F.inline(F.arrays_zip(F.col("_at").alias("_i"), F.transform("_fs", lambda f: F.get(f, F.col("_s"))).alias("_s"))))
+
     @F.pandas_udf("struct<cuts:array<bigint>,mark:bigint>")
     def emit(blocks: pd.Series, start: pd.Series, offset: pd.Series) -> pd.DataFrame:
         out = []
         for b, s, o in zip(blocks, start, offset, strict=True):
-            _, cuts, mark = run(b, s)
+            _, cuts, mark = run(b, int(s))
             out.append(([c if c < 0 else c + o for c in cuts], mark if mark < 0 else mark + o))
         return pd.DataFrame(out, columns=["cuts", "mark"])
 
-    states = long.select(*keys, "_i", function("_b").alias("_f")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_f"))).alias("_all"))
-    states = states.select(*keys, F.posexplode(starts("_all._f")).alias("_i", "_s"))
-    done = long.join(states, [*keys, "_i"]).select(*keys, "_i", emit("_b", "_s", F.col("_i") * block).alias("_e"))
-    w = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    marks = done.select(*keys, "_i", "_e.cuts", F.last(F.when(F.col("_e.mark") != -1, F.col("_e.mark")), ignorenulls=True).over(w).alias("_m"))
-    cuts = marks.select(*keys, F.explode("cuts").alias("_c"), "_m").select(*keys, F.when(F.col("_c") == -1, F.col("_m")).otherwise(F.col("_c")).alias("_c"))
-    listed = cuts.groupBy(*keys).agg(F.array_sort(F.collect_list("_c")).alias("_cuts"))
-
-    @F.pandas_udf(_SPANS)
-    def between(texts: pd.Series, cut: pd.Series) -> pd.Series:
-        return pd.Series([[{"start_pos": a, "end_pos": b} for a, b in spans(t, [] if c is None else [int(x) for x in c])] for t, c in zip(texts, cut, strict=True)], dtype=object)
+    offset = F.col("_i").cast("bigint") * block
+    done = cut(long.join(states.filter(F.col("_i").isNotNull()), ["_row", "_i"]).select("_row", "_i", emit("_b", "_s", offset).alias("_e")))
+    w = Window.partitionBy("_row").orderBy("_i")
+    earlier = F.last(F.when(F.col("_e.mark") != -1, F.col("_e.mark")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cuts = done.select("_row", "_e.cuts", earlier.alias("_m")).select("_row", F.explode("cuts").alias("_c"), "_m")
+    cuts = cuts.select("_row", F.when(F.col("_c") == -1, F.col("_m")).otherwise(F.col("_c")).alias("_c"))
+    listed = cuts.groupBy("_row", F.floor(F.col("_c") / block).cast("int").alias("_i")).agg(F.array_sort(F.collect_list("_c")).alias("_cuts"))  # those of one block
+
+    @F.pandas_udf("array<struct<no:bigint,start_pos:bigint,end_pos:bigint>>")
+    def parts(blocks: pd.Series, cut_at: pd.Series, offset: pd.Series) -> pd.Series:
+        """What a block sees of each sentence: its number among those that begin here (0 goes on from before), first and last character."""
+        out = []
+        for b, cs, o in zip(blocks, cut_at, offset, strict=True):
+            at, seen = 0, []
+            for no, c in enumerate([*(int(x) - o for x in (() if cs is None else cs)), len(b)]):
+                piece = b[at:c]
+                bare = piece.strip()
+                if bare:
+                    s = at + len(piece) - len(piece.lstrip())
+                    seen.append({"no": no, "start_pos": s + o, "end_pos": s + len(bare) + o})
+                at = max(at, c)
+            out.append(seen)
+        return pd.Series(out, dtype=object)
 
-    full = rows.filter(n > block).join(listed, keys, "left").select(*keys, F.inline(between("_t", "_cuts")))
-    return short.unionByName(full)
+    before = F.coalesce(F.sum(F.coalesce(F.size("_cuts"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    there = long.join(listed, ["_row", "_i"], "left").withColumn("_n", before)  # counted before rows multiply or go
+    seen = there.select("_keys", "_row", "_n", F.explode(parts("_b", "_cuts", offset)).alias("_p"))
+    joined = seen.groupBy("_row", (F.col("_n") + F.col("_p.no")).alias("_no")).agg(F.first("_keys").alias("_keys"), F.min("_p.start_pos").alias("start_pos"), F.max("_p.end_pos").alias("end_pos"))
+    return short.unionByName(joined.select(*names, "start_pos", "end_pos"))

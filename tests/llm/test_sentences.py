@@ -49,10 +49,13 @@ def test_blocks_compose():
 
 def test_columns(spark):
     rng = random.Random(6)
-    texts = [t for t, _ in CASES] + [None] + [" ".join(rng.choice(CASES)[0] for _ in range(20)) for _ in range(20)] + ["a" * 3000]
+    texts = [t for t, _ in CASES] + [None, " \n" * 60 + "Bir. " + " " * 200 + "İki", "“Bir.”" + " " * 90 + "pH 7 olur. “" + "\n" * 70] + [" ".join(rng.choice(CASES)[0] for _ in range(20)) for _ in range(20)] + ["a" * 3000]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, t string, start_pos int")
     want = {(i, a, b) for i, t in enumerate(texts) for a, b in S.sentence_spans(t)}
+    for block, group in ((10_000, 256), (S.BLOCK, 256), (50, 256), (7, 4), (1, 2)):  # all in one go, as set, and by ever smaller blocks
+        got = [tuple(r) for r in S.split_sentences(df, "t", ["id"], block, group).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, block
+    twice = spark.createDataFrame([(None, CASES[0][0] * 9)] * 2, "id long, t string")  # a null key, and a repeated row
     for block in (S.BLOCK, 50):
-        got = [tuple(r) for r in S.split_sentences(df, "t", ["id"], block).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+        assert sorted(S.split_sentences(twice, "t", ["id"], block).collect()) == sorted([(None, a, b) for a, b in S.sentence_spans(CASES[0][0] * 9)] * 2)
     assert S.split_sentences(df.limit(0), "t", ["id"]).count() == 0
