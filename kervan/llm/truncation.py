@@ -2,9 +2,10 @@
 
 Per source, lengths (in characters and in bytes) are fitted by maximum likelihood with a log-normal distribution that
 is right-censored at a candidate limit; where the fit with a limit beats the one without, a value just below the limit
-has a posterior of having been censored there. This is combined, as log odds, with the evidence of the ending: a
-complete sentence, a list item or signature that needs no stop, a tail that never ends a sentence anywhere in the
-corpus, or something that was added at the cut.
+has a posterior of having been censored there. Its log odds (for other values those of being cut in transfer) are
+added to what the ending says: the log of how much likelier this kind of ending is at a cut than at a natural end. The
+kinds are weighed by the corpus itself: every text is cut once at a place that its hash draws, and read once up to one
+of its own natural ends; how often cuts leave a mark is taken from the texts at the limits, by their posteriors.
 """
 
 from __future__ import annotations
@@ -23,8 +24,13 @@ from kervan.session import cut
 
 #: Positions below a limit within which a cut may fall (the cut word, or what was added).
 WINDOW = 24
-#: Log odds of what an ending says; the sum with the log odds of the length decides.
-EVIDENCE = {"stop": -12.0, "fixed": -12.0, "added": 12.0, "trail_open": 10.0, "trail_final": -3.0, "short": 2.0, "number": -1.0, "list_final": -6.0, "list_open": 9.0, "bare_final": -5.0, "bare_open": 9.0, "open": 9.0, "empty": -12.0}
+#: Kinds of endings that complete a text: by definition they are no case, wherever they stand.
+COMPLETE = ("stop", "fixed", "empty")
+#: Kinds that depend on whether their tail ends sentences elsewhere.
+SPLIT = ("trail", "list", "bare")
+KINDS = ("added", "trail_open", "trail_final", "short", "number", "list_open", "list_final", "bare_open", "bare_final", "open", *COMPLETE)
+#: Share of texts cut in transfer from which the fit starts.
+TRANSFER = 0.02
 
 _STOP = ".!?。।॥؟！？۔"
 _QUOTES = "\"'”’»“›」』)）]"
@@ -90,19 +96,31 @@ def ending(text: str) -> tuple[str, int]:
     return "open", tail_key(core)
 
 
-def final_keys(text: str) -> list[int]:
-    """Keys of the tails before sentence ends inside the text; the end of the text itself doesn't count."""
-    out = set()
+def _ends(text: str) -> list[tuple[int, int, bool]]:
+    """(where the words before it end, where it ends, whether it may be that of an abbreviation only) of the ends of sentences and lines inside a text; that of the text itself doesn't count."""
+    out, stop = [], len(text.rstrip())
     for m in _END.finditer(text):
-        if m.end() >= len(text.rstrip()):
+        if m.end() >= stop:
             break
-        head = text[max(0, m.start() - 80) : m.start()]
-        word = re.search(r"([^\W_]+)\Z", head)
-        if m.group()[0] == "." and word and (word.group(1).lower() in ABBREVIATIONS or len(word.group(1)) == 1):
-            continue
-        out.add(tail_key(head))
-    out.discard(0)
-    return sorted(out)
+        word = re.search(r"([^\W_]+)\Z", text[max(0, m.start() - 80) : m.start()])
+        out.append((m.start(), m.end(), m.group()[0] == "." and bool(word) and (word.group(1).lower() in ABBREVIATIONS or len(word.group(1)) == 1)))
+    return out
+
+
+def final_keys(text: str) -> list[int]:
+    """Keys of the tails before sentence ends inside the text; the end of the text itself doesn't count."""
+    return _final_keys(text, _ends(text))
+
+
+def _final_keys(text: str, ends: list[tuple[int, int, bool]]) -> list[int]:
+    return sorted({tail_key(text[max(0, a - 80) : a]) for a, _, doubtful in ends if not doubtful} - {0})
+
+
+def rehearse(text: str, found: list[tuple[int, int, bool]]) -> tuple[tuple[str, int], tuple[str, int]]:
+    """(ending at a drawn cut, ending at a drawn natural end) inside a text; ('', 0) where it has no room for one."""
+    draw = int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "little")
+    room, ends = len(text.rstrip()) - 16, [b for a, b, doubtful in found if not doubtful or "\n" in text[a:b]]
+    return ending(text[: 8 + draw % room]) if room > 0 else ("", 0), ending(text[: ends[draw % len(ends)]]) if ends else ("", 0)
 
 
 # ---- lengths ----
@@ -206,41 +224,86 @@ def fit_sources(lengths: DataFrame) -> DataFrame:
 # ---- decision ----
 
 
+def weigh(cuts: dict[str, float], tails_final: float, naturals: dict[str, float], seen: list[tuple[str, float, float]]) -> tuple[dict[str, float], float]:
+    """(log odds of each kind of ending, share cut in transfer).
+
+    cuts and naturals: how often drawn cuts and natural ends came out as each kind; tails_final: the share of drawn
+    cuts whose tail ends sentences elsewhere. seen: kind, posterior of the length, and number of the stored texts;
+    the texts at limits, by their posteriors, say how often a cut leaves a mark, which drawn cuts never do.
+    """
+    n_cut, n_natural = sum(cuts.values()) + 1, sum(naturals.values()) + 1
+    at_limit = sum(p * n for k, p, n in seen if p and k not in COMPLETE) + 10
+    trail, added = ((sum(p * n for k, p, n in seen if k.startswith(mark)) + 0.5) / at_limit for mark in ("trail", "added"))
+    odds = {}
+    for k in KINDS:
+        at_cut = (1 - trail - added) * (cuts.get(k, 0) + 0.5) / n_cut
+        if k.startswith("trail"):
+            at_cut += trail * (tails_final if k == "trail_final" else 1 - tails_final)
+        elif k == "added":
+            at_cut += added
+        odds[k] = math.log(at_cut / ((naturals.get(k, 0) + 0.5) / n_natural))
+    share = TRANSFER
+    rest = [(k, n) for k, p, n in seen if not p]
+    for _ in range(30 if rest else 0):
+        cut_ = sum(n / (1 + math.exp(-odds[k]) * (1 - share) / share) for k, n in rest if k not in COMPLETE)
+        share = min(0.2, max(1e-4, cut_ / sum(n for _, n in rest)))
+    return odds, share
+
+
 def judge(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """key, source, kind, posterior, odds, is_cut: one row per text that isn't null.
+    """key, source, kind, posterior, odds, is_cut, by_length: one row per text that isn't null.
 
+    A text is cut if the log odds of its length and of its ending come out above 0; one whose ending completes a
+    sentence, or is a signature, reference or blank, never is. by_length: whether its length changed the decision.
     Empty and blank texts aren't cut. A null source is a source of its own. Copies of a text that is judged cut are
     cut too. key identifies a row, repeated rows count once in the result; columns of any name don't matter.
     """
 
-    @F.pandas_udf("struct<kind:string,tail:bigint,finals:array<bigint>>")
+    @F.pandas_udf("struct<kind:string,tail:bigint,finals:array<bigint>,cut_kind:string,cut_tail:bigint,end_kind:string,end_tail:bigint>")
     def look(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(*ending(t), final_keys(t)) for t in texts], columns=["kind", "tail", "finals"])
+        rows = []
+        for t in texts:
+            ends = _ends(t)
+            at_cut, at_end = rehearse(t, ends)
+            rows.append((*ending(t), _final_keys(t, ends), *at_cut, *at_end))
+        return pd.DataFrame(rows, columns=["kind", "tail", "finals", "cut_kind", "cut_tail", "end_kind", "end_tail"])
 
     rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull())
     seen = rows.select("_key", "source", F.length("_t").alias("n_chars"), F.octet_length("_t").alias("n_bytes"), F.md5("_t").alias("_copy"), look("_t").alias("_e"))
-    seen = cut(seen.select("_key", "source", "n_chars", "n_bytes", "_copy", "_e.kind", "_e.tail", "_e.finals"))
-    finals = seen.select(F.explode("finals").alias("tail")).groupBy("tail").agg(F.count("*").alias("n_final")).filter(F.col("n_final") >= 2)
-    doubtful = seen.filter(F.col("kind").isin("trail", "list", "bare")).select("tail").distinct()
-    known = finals.join(doubtful, "tail", "left_semi").select("tail", F.lit(True).alias("_final"))
+    seen = cut(seen.select("_key", "source", "n_chars", "n_bytes", "_copy", "_e.*"))
+    finals = seen.select(F.explode("finals").alias("tail")).groupBy("tail").agg(F.count("*").alias("n_final")).filter(F.col("n_final") >= 2).select("tail", F.lit(True).alias("_final"))
+    final = F.coalesce("_final", F.lit(False))
+    split = F.when(F.col("kind").isin(*SPLIT), F.concat("kind", F.when(final, F.lit("_final")).otherwise(F.lit("_open")))).otherwise(F.col("kind"))
+    drawn = seen.select(F.inline(F.array(F.struct(F.lit("cut").alias("what"), F.col("cut_kind").alias("kind"), F.col("cut_tail").alias("tail")), F.struct(F.lit("end").alias("what"), F.col("end_kind").alias("kind"), F.col("end_tail").alias("tail")))))
+    drawn = drawn.filter(F.col("kind") != "").groupBy("what", "kind", "tail").agg(F.count("*").alias("n")).join(finals, "tail", "left")
+    drawn = drawn.groupBy("what", split.alias("kind"), final.alias("final")).agg(F.sum("n").alias("n")).collect()  # kinds, twice four times at most
     fits = fit_sources(seen.filter(F.col("kind") != "empty").dropDuplicates(["source", "_copy"]))  # a text stored often is no limit
     post = cut(fits.groupBy("source", "unit", "length").agg(F.max("posterior").alias("posterior")))
     chars = post.filter(F.col("unit") == "chars").select("source", F.col("length").alias("n_chars"), F.col("posterior").alias("_pc"))
     octets = post.filter(F.col("unit") == "bytes").select("source", F.col("length").alias("n_bytes"), F.col("posterior").alias("_pb"))
-    j = seen.drop("finals").join(known, "tail", "left").join(chars, ["source", "n_chars"], "left").join(octets, ["source", "n_bytes"], "left")
-    final = F.coalesce("_final", F.lit(False))
-    split = F.col("kind").isin("trail", "list", "bare")
-    kind = F.when(split, F.concat("kind", F.when(final, F.lit("_final")).otherwise(F.lit("_open")))).otherwise(F.col("kind"))
-    j = j.withColumn("kind", kind).withColumn("posterior", F.greatest(F.coalesce("_pc", F.lit(0.0)), F.coalesce("_pb", F.lit(0.0))))
-    weight = F.create_map(*[F.lit(v) for kv in EVIDENCE.items() for v in kv])
-    p = F.least(F.lit(0.9999), F.greatest(F.col("posterior"), F.lit(0.02)))  # 0.02: cut somewhere in transfer
-    j = j.withColumn("odds", F.log(p / (1 - p)) + F.element_at(weight, F.col("kind")))
-    copies = j.groupBy("_copy").agg(F.max("odds").alias("_most"))
-    out = j.join(copies, "_copy").withColumn("is_cut", F.col("_most") > 0)
-    return out.select(F.col("_key").alias(key), "source", "kind", "posterior", "odds", "is_cut").dropDuplicates([key])
+    doubtful = seen.filter(F.col("kind").isin(*SPLIT)).select("tail").distinct()
+    j = seen.select("_key", "source", "n_chars", "n_bytes", "_copy", "kind", "tail").join(finals.join(doubtful, "tail", "left_semi"), "tail", "left")
+    j = j.join(chars, ["source", "n_chars"], "left").join(octets, ["source", "n_bytes"], "left")
+    j = cut(j.select("_key", "source", "_copy", split.alias("kind"), F.greatest(F.coalesce("_pc", F.lit(0.0)), F.coalesce("_pb", F.lit(0.0))).alias("posterior")))
+    counts = j.dropDuplicates(["source", "_copy"]).groupBy("kind", F.round("posterior", 2).alias("p")).agg(F.count("*").alias("n")).collect()  # kinds times a hundred at most
+
+    def drawn_as(what: str) -> dict[str, float]:
+        return {k: sum(r["n"] for r in drawn if (r["what"], r["kind"]) == (what, k)) for k in KINDS}
+
+    cuts = drawn_as("cut")
+    tails_final = (sum(r["n"] for r in drawn if r["what"] == "cut" and r["final"]) + 0.5) / (sum(cuts.values()) + 1)
+    odds, share = weigh(cuts, tails_final, drawn_as("end"), [(r["kind"], r["p"], r["n"]) for r in counts])
+    weight = F.element_at(F.create_map(*[F.lit(v) for kv in odds.items() for v in kv]), F.col("kind"))
+    p = F.least(F.lit(0.9999), F.greatest(F.col("posterior"), F.lit(share)))
+    able = ~F.col("kind").isin(*COMPLETE)
+    j = j.withColumns({"odds": F.log(p / (1 - p)) + weight, "_ending": F.lit(math.log(share / (1 - share))) + weight})
+    copies = j.groupBy("_copy").agg(F.max(F.when(able, F.col("odds"))).alias("_most"), F.max(F.when(able, F.col("_ending"))).alias("_without"))
+    out = j.join(copies, "_copy").withColumn("is_cut", F.coalesce(F.col("_most") > 0, F.lit(False)))
+    out = out.withColumn("by_length", F.col("is_cut") != F.coalesce(F.col("_without") > 0, F.lit(False)))
+    return out.select(F.col("_key").alias(key), "source", "kind", "posterior", "odds", "is_cut", "by_length").dropDuplicates([key])
 
 
 def report(judged: DataFrame) -> DataFrame:
-    """source, n_texts, n_cut, share: how often each source cuts."""
-    g = judged.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("is_cut").alias("n_cut"))
+    """source, n_texts, n_cut, share, n_by_length: how often each source cuts, and how many decisions the length made."""
+    g = judged.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("is_cut").alias("n_cut"), F.count_if("by_length").alias("n_by_length"))
     return g.withColumn("share", F.round(F.col("n_cut") / F.col("n_texts"), 6))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from kervan.llm import truncation as T
 
 SENTENCES = ["Hastanın kilosu kayıt altına alınır.", "Doz yarıya indirilebilir.", "İlk kontrolde tuz tüketimi yakından takip edilir.", "Sabah aç karnına alınmalıdır!", "Neden beklenenden farklı olabilir?"]
@@ -39,14 +41,13 @@ def test_judge(spark):
     got = {r.doc_id for r in judged.filter("is_cut").collect()}
     assert judged.count() == len(rows) - 1
     assert len(got & cut) / len(cut) > 0.98 and len(got & cut) / len(got) > 0.98
+    assert any(r.by_length for r in judged.collect())  # the length decides where the ending alone can't
     shares = {r.source: r.share for r in T.report(judged).collect()}
     assert shares["sabit"] > 0.4 and shares["serbest"] < 0.05
     assert T.judge(df.limit(0), "doc_id", "text", "source").count() == 0
 
 
 def test_limit_is_found():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     x = np.minimum(np.exp(rng.normal(6, 0.8, 3000)).astype(int) + 1, 700)
     length, n = np.unique(x, return_counts=True)
@@ -70,8 +71,6 @@ def test_long_limit_reaches_its_texts(spark):
 
 def test_every_limit_is_found():
     """A limit that the mode of a large source outnumbers, and one that only some texts meet."""
-    import numpy as np
-
     rng = np.random.default_rng(2)
     x = np.exp(rng.normal(5.5, 0.8, 60_000)).astype(int) + 1
     x[:1500] = np.minimum(np.exp(rng.normal(6, 1.2, 1500)).astype(int) + 1, 900)
@@ -80,3 +79,15 @@ def test_every_limit_is_found():
     length, at = np.unique(x, return_inverse=True)
     found = {limit: share for _, limit, share in T.find_limits({"chars": length}, np.bincount(at), np.bincount(at, ends_open))}
     assert set(found) == {900, 4000} and found[900][900] > 0.8 and found[4000][4000] > 0.8
+
+
+def test_endings_are_weighed_by_the_corpus():
+    """Marks come from the texts at limits, the other kinds from drawn cuts and natural ends; an ambiguous tail needs the length."""
+    cuts, ends = {"open": 900, "stop": 30, "list_final": 2, "short": 3}, {"stop": 900, "list_final": 40, "trail_final": 8, "short": 1}
+    odds, share = T.weigh(cuts, 0.02, ends, [("open", 0.97, 80), ("trail_open", 0.97, 15), ("trail_final", 0.97, 2), ("stop", 0.0, 900), ("open", 0.0, 20)])
+    log = lambda p: np.log(p / (1 - p))
+    assert odds["open"] + log(share) > 0 and odds["trail_open"] + log(share) > 0
+    assert odds["trail_final"] + log(share) < 0 < odds["trail_final"] + log(0.97)
+    assert odds["list_final"] + log(share) < 0 and odds["short"] + log(share) < 0
+    assert 0.005 < share < 0.1
+    assert T.weigh({}, 0.5, {}, [])[0].keys() == set(T.KINDS)
