@@ -1,11 +1,15 @@
 """Linking the spellings of names typed by people.
 
 A typed product name is read into a brand and its marks (addition, strength, form); a typed ingredient into a base
-and a salt. Spellings that share a blocking key (a spelling with up to two letters left out) and lie within two edits
-are linked; a profile is a connected class of them, so no later round could merge more by spellings.
+and a salt. Spellings are merged into profiles in rounds. A profile is its centre, the spelling of the strongest, and
+all spellings it took in. In every round profiles meet by blocking keys (a spelling with up to two letters left out); a
+profile joins a stronger one if its centre lies within two edits of the other's centre, or of two of its spellings.
+So merged profiles, which own more spellings, draw in what none of their spellings could alone, and two frequent
+brands don't merge through a rare spelling between them. Rounds end when nothing merges.
 Initials ("Hazuk." for Hazukson) join the profile that has a spelling they begin, among products of the same marks;
-where none of those has one, the only profile of any marks that has; where none has, the only longest initials of the
-same marks that begin like them. Initials that fit several stay apart, and edits within initials aren't matched.
+where none of those has one, the only profile of any marks that has. The marks they bring are the profile's from then
+on, and initials are matched again until none joins. The rest join the only longest initials of the same marks that
+begin like them. Initials that fit several stay apart, and edits within initials aren't matched.
 """
 
 from __future__ import annotations
@@ -19,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kervan.llm.near_copies import components
 from kervan.llm.unicode_form import consistent
 from kervan.session import cut
 
@@ -36,7 +39,7 @@ FORMS = {
 }
 ADDITIONS = {"plus": r"plus|pls", "forte": r"forte|fort|frt", "retard": r"retard|ret|rtd", "junior": r"junior|jun|jr"}
 GRAMS = {"g": 1000.0, "gr": 1000.0, "gram": 1000.0, "mcg": 0.001, "mikrogram": 0.001}
-SALTS = ("asetat", "fosfat", "hidroklorur", "maleat", "potasyum", "sitrat", "sodyum", "sulfat")
+# Chemical signs of salts.
 SALT_SIGNS = {"hcl": "hidroklorur", "so4": "sulfat", "po4": "fosfat", "k": "potasyum", "na": "sodyum"}
 
 _PACK = re.compile(r"\(\s*\d+\s*(?:adet|tb|tablet)\s*\)|,?\s*\d+\s*['’]\s*l[iu]\b|\b\d+\s*(?:tb|tablet)\s*kutu\b|-?\s*\byeni\s+kutu\b|\b\d+\s*adet\b")
@@ -115,6 +118,31 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([(m := EDITS if min(len(x), len(y)) >= SHORT else 1) >= distance(x, y, m) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def _merged(spelled: DataFrame, edges: DataFrame) -> DataFrame:
+    """brand, label: spellings with the centre of the profile that took them in.
+
+    spelled: brand, n (rows); edges: a, b, both ways, spellings within the allowed edits. In each round the profiles
+    that have no stronger one beside them are centres; every other one joins the strongest centre beside it. Profiles
+    beside none wait for the next round, in which the merged ones count with all their rows and spellings.
+    """
+    degree = edges.groupBy(F.col("a").alias("brand")).agg(F.count("*").alias("degree"))
+    known = cut(spelled.join(degree, "brand", "left").select("brand", "n", F.coalesce("degree", F.lit(0)).alias("degree")))
+    near = known.filter("degree > 0")
+    profile = near.select("brand", F.col("brand").alias("label"))
+    while True:
+        rows = profile.join(near, "brand").groupBy("label").agg(F.sum("n").alias("n"), F.max(F.when(F.col("brand") == F.col("label"), F.col("degree"))).alias("degree"))
+        strength = rows.select("label", F.struct("n", "degree", "label").alias("s"))
+        mine, other = strength.select(F.col("label").alias("p"), F.col("s").alias("sp")), strength.select(F.col("label").alias("q"), F.col("s").alias("sq"))
+        beside = edges.join(mine, F.col("a") == F.col("p")).join(profile.select(F.col("brand").alias("b"), F.col("label").alias("q")), "b").filter(F.col("p") != F.col("q"))
+        beside = beside.groupBy("p", "q").agg(F.first("sp").alias("sp"), F.count("*").alias("spellings"), F.bool_or(F.col("b") == F.col("q")).alias("centre"))
+        stronger = cut(beside.filter(F.col("centre") | (F.col("spellings") >= 2)).join(other, "q").filter(F.col("sq") > F.col("sp")).select("p", "q", "sq"))
+        joins = stronger.join(stronger.select(F.col("p").alias("q")).distinct(), "q", "left_anti").groupBy("p").agg(F.max_by("q", "sq").alias("q"))
+        if stronger.isEmpty():
+            break
+        profile = cut(profile.join(joins, F.col("label") == F.col("p"), "left").select("brand", F.coalesce("q", "label").alias("label")))
+    return known.join(profile, "brand", "left").select("brand", F.coalesce("label", "brand").alias("label"))
+
+
 def resolve_names(df: DataFrame, key: str, name: str) -> DataFrame:
     """key, product: one row per row of df whose name is filled, repeated rows once; rows of one product share the value.
 
@@ -124,28 +152,33 @@ def resolve_names(df: DataFrame, key: str, name: str) -> DataFrame:
     """
     rows = cut(df.select(F.col(key).alias("_key"), _read(F.col(name)).alias("_r")).select("_key", "_r.brand", "_r.initials", "_r.marks").filter(F.col("marks") != ""))
     spelled = cut(rows.groupBy("brand", "initials", "marks").agg(F.count("*").alias("n")))
-    full = spelled.filter(~F.col("initials")).select("brand").distinct()
-    profile = full.select("brand", F.col("brand").alias("label"))
-    short = spelled.filter("initials").select(F.col("brand").alias("stem"), "marks").distinct()
-    # first round: spellings within the allowed edits, found by what they share when letters are left out
+    full = spelled.filter(~F.col("initials")).groupBy("brand").agg(F.sum("n").alias("n"))
     keyed = full.select("brand", F.explode(_keys("brand")).alias("_k"))
     near = keyed.alias("x").join(keyed.alias("y"), "_k").filter(F.col("x.brand") < F.col("y.brand")).select(F.col("x.brand").alias("a"), F.col("y.brand").alias("b")).distinct()
-    edges = cut(near.filter(_alike("a", "b")))
-    profile = cut(full.join(components(edges).withColumnRenamed("node", "brand"), "brand", "left").select("brand", F.coalesce("label", "brand").alias("label")))
+    one = cut(near.filter(_alike("a", "b")))
+    profile = cut(_merged(full, one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))))
     prefixes = F.transform(F.sequence(F.lit(INITIALS), F.length("brand") - 1), lambda i: F.substring(F.col("brand"), F.lit(1), i))
+    open_ = spelled.filter("initials").select(F.col("brand").alias("stem"), "marks").distinct()
+    begun = cut(profile.filter(F.length("brand") > INITIALS).select("label", F.explode(prefixes).alias("stem")).join(open_.select("stem").distinct(), "stem", "left_semi").distinct())
+    whole = begun.groupBy("stem").agg(F.min("label").alias("label"), F.count("*").alias("n")).filter("n = 1").select("stem", "label")
     products = spelled.filter(~F.col("initials")).join(profile, "brand").select("label", "marks").distinct()
-    begun = cut(profile.filter(F.length("brand") > INITIALS).select("label", F.explode(prefixes).alias("stem")).join(short.select("stem").distinct(), "stem", "left_semi").distinct())
-    # a profile's spellings count wherever it has a product of those marks
-    hits = cut(short.join(begun, "stem").join(products, ["label", "marks"]).groupBy("stem", "marks").agg(F.min("label").alias("label"), F.count("*").alias("n")))
-    lone = short.join(hits, ["stem", "marks"], "left_anti")
-    whole = cut(begun.groupBy("stem").agg(F.min("label").alias("label"), F.count("*").alias("n")))
-    anywhere = lone.join(whole.filter("n = 1"), "stem").select("stem", "marks", "label")
+    owner, open_ = None, cut(open_)
+    while True:
+        # a profile's spellings count wherever it has a product of those marks, be it by initials that joined before
+        hits = cut(open_.join(begun, "stem").join(products, ["label", "marks"]).groupBy("stem", "marks").agg(F.min("label").alias("label"), F.count("*").alias("n")))
+        anywhere = open_.join(hits, ["stem", "marks"], "left_anti").join(whole, "stem").select("stem", "marks", "label")
+        found = cut(hits.filter("n = 1").select("stem", "marks", "label").unionByName(anywhere))
+        if found.isEmpty():
+            break
+        owner = found if owner is None else owner.unionByName(found)
+        products = cut(products.unionByName(found.select("label", "marks")).distinct())
+        open_ = cut(open_.join(found.select("stem", "marks"), ["stem", "marks"], "left_anti"))
     # initials that begin no spelling: those that begin the only longest ones of the same marks are one with them
-    lone = cut(lone.join(whole, "stem", "left_anti"))
+    lone = cut(open_.join(begun.select("stem").distinct(), "stem", "left_anti"))
     longer = cut(lone.select(F.col("stem").alias("brand"), "marks").filter(F.length("brand") > INITIALS).select("brand", "marks", F.explode(prefixes).alias("stem")).join(lone, ["stem", "marks"]))
     tops = longer.join(longer.select(F.col("stem").alias("brand"), "marks").distinct(), ["brand", "marks"], "left_anti")
     tops = tops.groupBy("stem", "marks").agg(F.min("brand").alias("brand"), F.count("*").alias("n")).filter("n = 1").select("stem", "marks", F.concat("brand", F.lit(".")).alias("label"))
-    owner = hits.filter("n = 1").select("stem", "marks", "label").unionByName(anywhere).unionByName(tops)
+    owner = tops if owner is None else owner.unionByName(tops)
     named = rows.filter(~F.col("initials")).join(profile, "brand").select("_key", F.concat_ws("|", "label", "marks").alias("product"))
     by_initials = rows.filter("initials").join(owner.withColumnRenamed("stem", "brand"), ["brand", "marks"], "left")
     by_initials = by_initials.select("_key", F.concat_ws("|", F.coalesce("label", F.concat("brand", F.lit("."))), "marks").alias("product"))
@@ -162,7 +195,12 @@ def sound(word: str) -> str:
     return w[:-1] if w.endswith("e") and len(w) > 4 else w
 
 
-def read_ingredient(part: str) -> tuple[str, str]:
+def known_salts(names: list[str]) -> tuple[str, ...]:
+    """The last words of known (folded) names of several words: the salts after the bases."""
+    return tuple(sorted({n.split()[-1] for n in names if len(n.split()) > 1}))
+
+
+def read_ingredient(part: str, salts: tuple[str, ...]) -> tuple[str, str]:
     """(kind:base, salt) of one folded ingredient: a code, a common name with its number, or a base with its salt."""
     s = part.strip(" ()-")
     code = re.fullmatch(r"([a-z]{2,5})\s*-?\s*(\d{2,4})\.?", s)
@@ -174,11 +212,11 @@ def read_ingredient(part: str) -> tuple[str, str]:
     base, salt = [], ""
     for raw in re.findall(r"[a-z0-9]+\.?", s):
         w = raw.rstrip(".")
-        if w in SALT_SIGNS:
+        if SALT_SIGNS.get(w) in salts:
             salt = SALT_SIGNS[w]
-        elif raw.endswith(".") and len(w) >= 2 and (fits := [x for x in SALTS if x.startswith(w)]):
+        elif raw.endswith(".") and len(w) >= 2 and (fits := [x for x in salts if x.startswith(w)]):
             salt = fits[0]
-        elif len(w) >= 4 and (fits := sorted((d, x) for x in SALTS if (d := distance(w, x, 2)) <= 2)):
+        elif len(w) >= 4 and (fits := sorted((d, x) for x in salts if (d := distance(w, x, 2)) <= 2)):
             salt = fits[0][1]
         else:
             base.append(w)
@@ -197,15 +235,16 @@ class Ingredients:
         self.near: dict[str, set[str]] = {}
         self.salts: dict[str, dict[str, int]] = {}
         self.names: dict[str, list[tuple[str, int]]] = {}
+        self.known = known_salts([fold(name) for _, name, _, _ in refs if name])
         for i, name, common, code in refs:
-            kind, salt = read_ingredient(fold(name))
+            kind, salt = read_ingredient(fold(name or ""), self.known)
             base = sound(kind[5:])
             self.salts.setdefault(base, {}).setdefault(salt, i)
             for w in without(base):
                 self.near.setdefault(w, set()).add(base)
             for text in (common, code):
                 if text:
-                    k, _ = read_ingredient(fold(text))
+                    k, _ = read_ingredient(fold(text), self.known)
                     self.exact[k, ""] = i
                     if k.startswith("name:"):
                         word, number = k[5:].split(" ")
@@ -215,7 +254,7 @@ class Ingredients:
     def find(self, part: str) -> int | None:
         """The ingredient a folded part names, or None. A salt that isn't known of its base names nothing; a base
         typed without one names its only ingredient, if there is but one."""
-        kind, salt = read_ingredient(part)
+        kind, salt = read_ingredient(part, self.known)
         if (kind, "") in self.exact:
             return self.exact[kind, ""]
         if kind.startswith("name:"):

@@ -57,3 +57,30 @@ def test_initials_of_different_lengths_without_a_full_name_of_their_marks(spark)
     got = {r.id: r.product for r in E.resolve_names(spark.createDataFrame(list(enumerate(names)), "id long, name string"), "id", "name").collect()}
     assert got[1] == got[2] != got[0] and got[3] == got[4]
     assert len({got[5], got[6], got[7]}) == 3  # "Cor." may be either
+
+
+def brands(spark, *names):
+    rows = [(i, n) for i, n in enumerate(n for n, times in names for _ in range(times))]
+    got = {n: r.product for (i, n), r in zip(rows, sorted(E.resolve_names(spark.createDataFrame(rows, "id long, n string"), "id", "n").collect()), strict=True)}
+    return {n.split()[0].lower(): p for n, p in got.items()}
+
+
+def test_frequent_brands_do_not_merge_through_a_rare_spelling(spark):
+    got = brands(spark, ("Abadolin 5 mg krem", 6), ("Abadokan 5 mg krem", 1), ("Abarokan 5 mg krem", 5))
+    assert got["abadolin"] != got["abarokan"]
+
+
+def test_a_later_round_finds_what_the_first_cannot(spark):
+    """Kalimorten takes in two mistyped spellings; only both of them together draw in a third, three edits away from the centre."""
+    a, b, c, far = "kalimorten", "kalizyrten", "kalizorzen", "kalizyrzen"
+    assert E.distance(a, far, 3) == 3 and E.distance(b, far, 2) == E.distance(c, far, 2) == 1
+    got = brands(spark, (f"{a} 5 mg krem", 6), (f"{b} 5 mg krem", 2), (f"{c} 5 mg krem", 2), (f"{far} 5 mg krem", 1))
+    assert len(set(got.values())) == 1
+    assert len(set(brands(spark, (f"{a} 5 mg krem", 6), (f"{far} 5 mg krem", 1)).values())) == 2
+
+
+def test_initials_bring_their_marks_to_the_profile(spark):
+    """"Hazukk." can only be Hazukkson; from then on it has 20 mg, so that "Hazuk. 20 mg", which may also begin Hazukdar, is its own."""
+    names = ["Hazukkson 10 mg tablet", "Hazukdaran 10 mg tablet", "Hazukk. 20 mg tablet", "Hazuk. 20 mg tablet", "Hazuk. 30 mg tablet"]
+    got = {r.id: r.product for r in E.resolve_names(spark.createDataFrame(list(enumerate(names)), "id long, name string"), "id", "name").collect()}
+    assert got[2] == got[3] and len({got[i] for i in (0, 1, 3, 4)}) == 4
