@@ -40,21 +40,34 @@ _SYMBOLS = re.compile(r"[\s\U0001f000-\U0001faff☀-➿️‍]+\Z")
 _ITEM = re.compile(r"\s*(?:[-•*–▪◦]\s|\d{1,3}[.)]\s)")
 _FIXED = re.compile(r"\s*(?:[—–]{1,2}\s*\S.{0,60}|[^\W\d_][^:.!?\n]{1,24}:\s*[^\s.!?]*\d[^\s]*)\s*\Z")
 _WORDS = re.compile(r"[^\W_]+")
+_LAST_WORD = re.compile(r"[^\W_]+\Z")
+_DIGITS = re.compile(r"\d+")
+#: Characters at the end of a text among which marks of a cut and closing symbols are looked for.
+_FAR = 256
+#: Letters before a full stop that may be those of an abbreviation.
+_SHORTEST = max(map(len, ABBREVIATIONS)) + 2
 _NO_BLANKS = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 _END = re.compile(r"[.!?。।؟！？…;]+[\"'”’»“)\]]*(?:\s|\Z|(?<=[。！？])|(?<=[。！？][”」]))|\n+|(?<=[฀-๿]) (?=[฀-๿])")
 
 
-def tail_key(text: str) -> int:
-    """64-bit key of how a text ends: its last two words, or its last four letters in scripts without blanks; digits are alike."""
-    found = _WORDS.findall(text[-80:])
+def _tail(text: str, end: int) -> str:
+    """How text[:end] ends: its last two words, or its last four letters in scripts without blanks; digits are alike."""
+    found = _WORDS.findall(text, max(0, end - 48), end)
     if not found:
-        return 0
+        return ""
     if _NO_BLANKS.search(found[-1]):
-        letters = "".join(c for c in text[-40:] if c.isalpha() or "ั" <= c <= "๎")
-        key = letters[-4:]
-    else:
-        key = " ".join(re.sub(r"\d+", "0", w.lower()) for w in found[-2:])
-    return int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little", signed=True)
+        letters = "".join(c for c in text[max(0, end - 40) : end] if c.isalpha() or "ั" <= c <= "๎")
+        return letters[-4:]
+    return " ".join([w.lower() if w.isalpha() else _DIGITS.sub("0", w.lower()) for w in found[-2:]])
+
+
+def _key(tail: str) -> int:
+    return int.from_bytes(hashlib.blake2b(tail.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True) if tail else 0
+
+
+def tail_key(text: str) -> int:
+    """64-bit key of how a text ends."""
+    return _key(_tail(text, len(text)))
 
 
 def ending(text: str) -> tuple[str, int]:
@@ -62,12 +75,16 @@ def ending(text: str) -> tuple[str, int]:
     s = text.rstrip()
     if not s:
         return "empty", 0
-    if _ADDED.search(s) and not s.endswith(")") or s.endswith("�"):
+    low = max(0, len(s) - _FAR)
+    if _ADDED.search(s, low) and not s.endswith(")") or s.endswith("�"):
         return "added", 0
-    m = _TRAIL.search(s)
+    m = _TRAIL.search(s, low)
     if m:
-        return "trail", tail_key(s[: m.start()])
-    bare = _SYMBOLS.sub("", s)
+        return "trail", _key(_tail(s, m.start()))
+    m = _SYMBOLS.search(s, low)
+    if m and m.start() == low:  # symbols as far as one looks
+        m = _SYMBOLS.search(s)
+    bare = s[: m.start()] if m else s
     symbol = len(bare) < len(s)
     if not bare:
         return "stop", 0
@@ -79,9 +96,9 @@ def ending(text: str) -> tuple[str, int]:
     end = core[-1:] or bare[-1]
     if end in _STOP:
         if end == "." and not closed:
-            word = re.search(r"([^\W_]+)\.\Z", core)
-            if word and not word.group(1).isdigit():
-                w = word.group(1).lower()
+            word = _LAST_WORD.search(core, max(0, len(core) - 80), len(core) - 1)
+            if word and not word.group().isdigit():
+                w = word.group().lower()
                 if w in ABBREVIATIONS or len(w) == 1:
                     return "short", tail_key(core)
             elif word:
@@ -102,8 +119,9 @@ def _ends(text: str) -> list[tuple[int, int, bool]]:
     for m in _END.finditer(text):
         if m.end() >= stop:
             break
-        word = re.search(r"([^\W_]+)\Z", text[max(0, m.start() - 80) : m.start()])
-        out.append((m.start(), m.end(), m.group()[0] == "." and bool(word) and (word.group(1).lower() in ABBREVIATIONS or len(word.group(1)) == 1)))
+        a = m.start()
+        word = _LAST_WORD.search(text, max(0, a - _SHORTEST), a) if text[a] == "." else None
+        out.append((a, m.end(), bool(word) and (len(w := word.group()) == 1 or w.lower() in ABBREVIATIONS)))
     return out
 
 
@@ -113,7 +131,7 @@ def final_keys(text: str) -> list[int]:
 
 
 def _final_keys(text: str, ends: list[tuple[int, int, bool]]) -> list[int]:
-    return sorted({tail_key(text[max(0, a - 80) : a]) for a, _, doubtful in ends if not doubtful} - {0})
+    return sorted({_key(t) for t in {_tail(text, a) for a, _, doubtful in ends if not doubtful}} - {0})
 
 
 def rehearse(text: str, found: list[tuple[int, int, bool]]) -> tuple[tuple[str, int], tuple[str, int]]:
