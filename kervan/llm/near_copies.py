@@ -3,14 +3,18 @@
 Texts become sets of hashed word sequences. Texts with the same set are one class, found by an aggregation that
 combines before the shuffle. The representatives of the classes get a one-permutation sketch: each sequence falls
 into one bin by its hash, a bin keeps its least value, and empty bins borrow from bins that a fixed random walk per
-bin visits (optimal densification). Bands of the sketch are buckets. All members of a bucket are compared exactly: in
-small buckets as pairs, each once however many buckets propose it, in large ones block by block. Pairs that share a
-neighbour are added and checked too, until none is new.
+bin visits (optimal densification). Bands of the sketch are buckets. A bucket proposes a star: its lowest member with
+every other one, as many edges as members, first within the rows a task has at hand, so that a bucket with a third of
+all texts reaches the shuffle as a few rows. Edges are checked exactly, each once however many buckets propose it; the
+members of a bucket whose edge fails make a star of their own, and after a few rounds the few that are left are
+compared with each other. Where all pairs are asked for, pairs around a shared neighbour are added and checked too,
+until none is new.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 
 from kervan.session import cut, task_slots
 
-#: Bands and rows: a pair of similarity s shares a bucket with probability 1 - (1 - s**ROWS) ** BANDS.
-BANDS, ROWS = 64, 5
+#: A pair of the least similarity s shares a bucket with probability 1 - (1 - s**rows) ** bands: this, or more.
+SURE = 0.96
+#: Rounds of stars among the members of a bucket that failed; the rest is compared as a whole.
+STARS = 3
 #: Similarity from which a checked edge may lead to further pairs around a shared neighbour.
 NEAR = 0.3
 #: Members of a bucket from which its pairs are compared block by block.
@@ -117,6 +123,12 @@ def _sets(values: DataFrame, size: int) -> DataFrame:
     return values.select("gid", "text").filter(F.col("gid").isNotNull()).mapInArrow(make, "gid long, digest binary, seqs array<int>")
 
 
+def bands_for(least: float) -> tuple[int, int]:
+    """(bands, rows): the fewest bands with which a pair of the least similarity shares a bucket as surely as SURE."""
+    rows = 4 if least < 0.7 else 8
+    return math.ceil(math.log(1 - SURE) / math.log(1 - least**rows)), rows
+
+
 def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     """key, gid: one row per band of every representative."""
 
@@ -134,6 +146,49 @@ def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     return reps.select("gid", "seqs").mapInArrow(make, "key long, gid long")
 
 
+def _stars(buckets: DataFrame, partitions: int) -> DataFrame:
+    """key, a, b (a < b): every member of a bucket (key, gid) with the lowest one; buckets of one member give nothing.
+
+    Tasks make the stars of what they have at hand first and pass on one row per bucket and batch, its lowest member;
+    edges are spread by a hash of their own. After the shuffle partitions arrive sorted, so that no bucket is held.
+    """
+
+    def batch(k: np.ndarray, a: np.ndarray, b: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=alone)], names=["key", "a", "b"])
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            k, g = big.column(0).to_numpy(), big.column(1).to_numpy()
+            order = np.lexsort((g, k))
+            k, g = k[order], g[order]
+            first = np.r_[np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]
+            low = g[first][np.cumsum(first) - 1]
+            kept = first | (g != low)
+            yield batch(k[kept], low[kept], g[kept], first[kept])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, centre = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            edge = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            k, a = (b.column(i).to_numpy(zero_copy_only=False)[~edge] for i in (0, 1))
+            first = np.r_[np.array([key is None or k[0] != key])[: len(k)], k[1:] != k[:-1]]
+            low = np.where(first, a, 0)
+            at = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1)) if len(k) else np.empty(0, int)
+            low = np.where(at >= 0, a[at], centre) if len(k) else low
+            if len(k):
+                key, centre = k[-1], low[-1]
+            new = a != low
+            yield batch(k[new], low[new], a[new], np.zeros(new.sum(), bool))
+            if edge.any():
+                yield b.filter(pa.array(edge))
+
+    local = buckets.mapInArrow(here, "key long, a long, b long")
+    route = F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("a", "b"))
+    return local.repartition(partitions, route).sortWithinPartitions("key", "a").mapInArrow(join, "key long, a long, b long")
+
+
 def _within(buckets: DataFrame, partitions: int) -> DataFrame:
     """key, a, b. With a null key: a < b, a pair of members of one bucket. With a key: member a of a bucket of more than BLOCK, and the block b it belongs to.
 
@@ -225,37 +280,50 @@ def _similar(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (common / (F.size("_sa") + F.size("_sb") - common)).alias("sim"))
 
 
-def near_copies(values: DataFrame, size: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def near_copies(values: DataFrame, size: int = 5, least: float = 0.8, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives, members).
 
     values: gid (row id * 4 + field), text (any string; null, blank and too short ones are left out, as are null gids;
     a repeated row counts once). Other columns don't matter.
-    pairs: a < b, sim >= least, between texts whose sets of `size`-word sequences differ, each pair once.
+    pairs: a < b, sim >= least, between texts whose sets of `size`-word sequences differ, each pair once: every such
+    pair found, or, if not `every`, enough to connect the texts of a group, about as many as it has texts.
     members: gid, rep: every text with the lowest gid among the texts of the same set. Ties can't occur.
-    The candidate search is probabilistic as BANDS states; every pair given was checked exactly.
+    The candidate search is probabilistic as SURE states; every pair given was checked exactly.
     """
     spark = values.sparkSession
-    slots = task_slots(spark)
+    slots, (bands, rows) = task_slots(spark), bands_for(least)
     sets = cut(_sets(values, size))
     classes = sets.groupBy("digest").agg(F.min("gid").alias("rep"))
     members = cut(sets.select("gid", "digest").join(classes, "digest").select("gid", "rep").distinct())
     reps = sets.join(members.filter(F.col("gid") == F.col("rep")).select("gid"), "gid", "left_semi").select("gid", "seqs")
-    proposed = cut(_within(_buckets(reps, bands, rows), slots))
-    edges = cut(proposed.filter(F.col("key").isNull()).select("a", "b").distinct())
-    hot = proposed.filter(F.col("key").isNotNull())
-    nodes = edges.select(F.col("a").alias("gid")).unionByName(edges.select(F.col("b").alias("gid"))).unionByName(hot.select(F.col("a").alias("gid"))).distinct()
+    stars = cut(_stars(_buckets(reps, bands, rows), slots))
+    nodes = stars.select(F.col("a").alias("gid")).unionByName(stars.select(F.col("b").alias("gid"))).distinct()
     sets = cut(sets.join(nodes, "gid", "left_semi").select("gid", "seqs").dropDuplicates(["gid"]))
-    near = min(NEAR, least)
-    checked = _similar(edges, sets).filter(F.col("sim") >= near)
-    if not hot.isEmpty():
-        checked = checked.unionByName(_tiles(hot, sets, near)).groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    linked = new = cut(checked)
-    while True:
+    near = min(NEAR, least) if every else least
+    linked = cut(_similar(stars.select("a", "b").distinct(), sets).filter(F.col("sim") >= near))
+    for left in range(STARS - 1, -1, -1):
+        failed = stars.join(linked.select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("b").alias("gid"))
+        if left:
+            stars = cut(_stars(failed, slots))
+            edges, hot = stars.select("a", "b"), None
+        else:
+            stars = cut(_within(failed, slots))
+            edges, hot = stars.filter(F.col("key").isNull()).select("a", "b"), stars.filter(F.col("key").isNotNull())
+        if stars.isEmpty():
+            break
+        fresh = edges.distinct().join(linked.select("a", "b"), ["a", "b"], "left_anti")
+        new = _similar(fresh, sets).filter(F.col("sim") >= near)
+        if hot is not None and not hot.isEmpty():
+            new = new.unionByName(_tiles(hot, sets, near).join(linked.select("a", "b"), ["a", "b"], "left_anti")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+        linked = cut(linked.unionByName(new))
+    new = linked
+    while every:
         more = _around(new, linked).join(linked.select("a", "b"), ["a", "b"], "left_anti")
         new = cut(_similar(more, sets).filter(F.col("sim") >= least))
         if new.isEmpty():
-            return linked.filter(F.col("sim") >= least), members
+            break
         linked = cut(linked.unionByName(new))
+    return linked.filter(F.col("sim") >= least), members
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -287,7 +355,6 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def classes_of(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """gid, class_id, n_links: every text with the lowest gid of its connected class and its number of near pairs."""
-    both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
-    known = components(pairs).withColumnRenamed("node", "rep").join(both.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links")), "rep")
-    return members.join(known, "rep", "left").select("gid", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """gid, class_id: every text with the lowest gid of its connected class."""
+    known = components(pairs).withColumnRenamed("node", "rep")
+    return members.join(known, "rep", "left").select("gid", F.coalesce("label", "rep").alias("class_id"))

@@ -72,9 +72,9 @@ def p2_found(spark, d):
 
 
 def p2_classes(spark, d):
-    """Every text with its class of near copies (five words, 0.8) and its number of links."""
-    pairs, members = near_copies.near_copies(_copy_texts(spark, d))
-    return near_copies.classes_of(pairs, members).select(_field("gid").alias("field"), _row("gid").alias("row_id"), _row("class_id").alias("class_id"), "n_links")
+    """Every text with its class of near copies (five words, 0.8)."""
+    pairs, members = near_copies.near_copies(_copy_texts(spark, d), every=False)
+    return near_copies.classes_of(pairs, members).select(_field("gid").alias("field"), _row("gid").alias("row_id"), _row("class_id").alias("class_id"))
 
 
 MODEL, DIMS = "leaflet-embed-2", 64

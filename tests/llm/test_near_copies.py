@@ -105,3 +105,38 @@ def test_neighbours_until_no_new_pair(spark, monkeypatch):
     monkeypatch.setattr(N, "_buckets", lambda reps, bands, rows: reps.select("gid").join(spark.sql(f"select cast(col1 as bigint) gid, cast(col2 as bigint) key from values {keys}"), "gid").select("key", "gid"))
     pairs, members = N.near_copies(spark.createDataFrame(rows, "gid long, text string"), 3, 0.5)
     assert {tuple(r) for r in N.expand(pairs, members).collect()} == brute(rows, 3, 0.5)
+
+
+def test_lone_pairs_at_the_threshold(spark):
+    """300 pairs of similarity exactly a half, each alone: 40 of 60 sequences in common."""
+    rows = []
+    for i in range(300):
+        head = [f"p{i}s{j}" for j in range(42)]
+        rows += [(8 * i, " ".join([*head, *(f"a{i}s{j}" for j in range(20))])), (8 * i + 4, " ".join([*head, *(f"b{i}s{j}" for j in range(20))]))]
+    pairs, _ = N.near_copies(spark.createDataFrame(rows, "gid long, text string"), 3, 0.5)
+    got = {(r.a, r.b, r.sim) for r in pairs.collect()}
+    assert got <= {(8 * i, 8 * i + 4, 0.5) for i in range(300)} and len(got) >= 0.9 * 300
+
+
+def test_groups_are_connected_by_as_many_pairs_as_texts(spark):
+    rng = random.Random(7)
+    base = [f"g{i}" for i in range(120)]
+    sizes = {}
+    for n in (100, 400):
+        rows = [(4 * i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i in range(n) for k in [rng.randrange(120)]]
+        pairs, members = N.near_copies(spark.createDataFrame(rows, "gid long, text string"), every=False)
+        sizes[n] = pairs.count()
+        assert {r.class_id for r in N.classes_of(pairs, members).collect()} == {0}
+    assert sizes[400] < 6 * sizes[100] and sizes[400] < 400 * 25
+
+
+def test_stars_hold_every_member(spark):
+    """Within a task or over tasks: each member of a bucket once with the lowest one of the task, these with the lowest of all."""
+    rng = random.Random(8)
+    rows = list({(rng.choice([1, 1, 1, 2, 3, 4, 5]), rng.randrange(4000)) for _ in range(3000)}) + [(77, 5)]
+    for parts in (1, 7):
+        edges = N._stars(spark.createDataFrame(rows, "key long, gid long").repartition(parts), 3).collect()
+        assert all(r.a < r.b for r in edges) and not [r for r in edges if r.key == 77]
+        for key in range(1, 6):
+            mine = {g for k, g in rows if k == key}
+            assert len([r for r in edges if r.key == key]) == len(mine) - 1 and {r.b for r in edges if r.key == key} == mine - {min(mine)}
