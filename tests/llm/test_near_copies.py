@@ -115,7 +115,7 @@ def test_lone_pairs_at_the_threshold(spark):
         rows += [(8 * i, " ".join([*head, *(f"a{i}s{j}" for j in range(20))])), (8 * i + 4, " ".join([*head, *(f"b{i}s{j}" for j in range(20))]))]
     pairs, _ = N.near_copies(spark.createDataFrame(rows, "gid long, text string"), 3, 0.5)
     got = {(r.a, r.b, r.sim) for r in pairs.collect()}
-    assert got <= {(8 * i, 8 * i + 4, 0.5) for i in range(300)} and len(got) >= 0.9 * 300
+    assert got <= {(8 * i, 8 * i + 4, 0.5) for i in range(300)} and len(got) >= 0.9 * 300  # 0.92 are expected
 
 
 def test_groups_are_connected_by_as_many_pairs_as_texts(spark):
