@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +101,7 @@ def band_keys(table: np.ndarray, group: np.ndarray, bands: int, rows: int) -> np
     return out.view(np.int64)
 
 
-def _sets(values: DataFrame, size: int) -> DataFrame:
+def _sets(values: DataFrame, size: int, form: Callable[[str], str] | None = None) -> DataFrame:
     """gid, digest of the set, the set; values: gid (its lowest bits are the group), text. Too short texts go."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def _sets(values: DataFrame, size: int) -> DataFrame:
         for b in batches:
             gid, sets, digests = [], [], []
             for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = sequences(t, size, words) if t else ()
+                s = sequences(form(t) if form else t, size, words) if t else ()
                 if len(s):
                     gid.append(g)
                     sets.append(s)
@@ -283,7 +283,7 @@ def _similar(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (common / (F.size("_sa") + F.size("_sb") - common)).alias("sim"))
 
 
-def near_copies(values: DataFrame, size: int = 5, least: float = 0.8, every: bool = True) -> tuple[DataFrame, DataFrame]:
+def near_copies(values: DataFrame, size: int = 5, least: float = 0.8, every: bool = True, form: Callable[[str], str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives, members).
 
     values: gid (row id * 4 + field), text (any string; null, blank and too short ones are left out, as are null gids;
@@ -291,11 +291,12 @@ def near_copies(values: DataFrame, size: int = 5, least: float = 0.8, every: boo
     pairs: a < b, sim >= least, between texts whose sets of `size`-word sequences differ, each pair once: every such
     pair found, or, if not `every`, enough to connect the texts of a group, about as many as it has texts.
     members: gid, rep: every text with the lowest gid among the texts of the same set. Ties can't occur.
+    form: what is done to every text before its words are taken.
     The candidate search is probabilistic as SURE states; every pair given was checked exactly.
     """
     spark = values.sparkSession
     slots, (bands, rows) = task_slots(spark), bands_for(least)
-    sets = cut(_sets(values, size))
+    sets = cut(_sets(values, size, form))
     classes = sets.groupBy("digest").agg(F.min("gid").alias("rep"))
     members = cut(sets.select("gid", "digest").join(classes, "digest").select("gid", "rep").distinct())
     reps = sets.join(members.filter(F.col("gid") == F.col("rep")).select("gid"), "gid", "left_semi").select("gid", "seqs")

@@ -49,12 +49,12 @@ COPY_FIELDS = ("chunk_text", "warnings", "common_side_effects")
 
 
 def _copy_texts(spark: SparkSession, d: str) -> DataFrame:
-    """gid (row id * 4 + place of the field in COPY_FIELDS) and consistent text of the three fields."""
+    """gid (row id * 4 + place of the field in COPY_FIELDS) and text of the three fields."""
     c = read(spark, d, "document_chunks", "chunk_id", "chunk_text").select("chunk_id", body(F.col("chunk_text")).alias("chunk_text"))
     m = fields(read(spark, d, "medicines", "medicine_id", "warnings", "common_side_effects"), "medicine_id", "warnings", "common_side_effects")
     place = F.array_position(F.array(*map(F.lit, COPY_FIELDS)), F.col("field")) - 1
     values = fields(c, "chunk_id", "chunk_text").unionByName(m)
-    return unicode_form.with_form(values.select((F.col("row_id") * 4 + place).alias("gid"), "value"), "value").select("gid", F.col("form").alias("text"))
+    return values.select((F.col("row_id") * 4 + place).alias("gid"), F.col("value").alias("text"))
 
 
 def _field(gid: str) -> Column:
@@ -67,13 +67,13 @@ def _row(gid: str) -> Column:
 
 def p2_found(spark, d):
     """Pairs of texts that share at least half of their three-word sequences, copies included."""
-    pairs, members = near_copies.near_copies(_copy_texts(spark, d), 3, 0.5)
+    pairs, members = near_copies.near_copies(_copy_texts(spark, d), 3, 0.5, form=unicode_form.form_in_worker)
     return near_copies.expand(pairs, members).select(_field("a").alias("field"), _row("a").alias("id_a"), _row("b").alias("id_b"))
 
 
 def p2_classes(spark, d):
     """Every text with its class of near copies (five words, 0.8)."""
-    pairs, members = near_copies.near_copies(_copy_texts(spark, d), every=False)
+    pairs, members = near_copies.near_copies(_copy_texts(spark, d), every=False, form=unicode_form.form_in_worker)
     return near_copies.classes_of(pairs, members).select(_field("gid").alias("field"), _row("gid").alias("row_id"), _row("class_id").alias("class_id"))
 
 

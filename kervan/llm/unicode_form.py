@@ -3,7 +3,7 @@
 Quick-check properties mark the characters that may be unstable: those a normalisation form changes or composes,
 those that are invisible, and those that stand in for another. Only runs of such characters, with the boundary
 characters they may combine with, are normalised; the results are spliced into the untouched rest. A pattern of
-plainly stable characters runs in the JVM first, so most values never leave it.
+plainly stable characters passes most values at once; only values that change travel back from the worker.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A value of these characters alone is in the consistent form (Java and Python agree on the class).
+#: A value of these characters alone is in the consistent form.
 PLAIN = "\\x20-\\x7e\\t\\n\\rçğıöşüÇĞİÖŞÜâîûÂÎÛäÄßéèàáíóúñ½²³¹®°≥≤±×µμ€§“”‘’„«»…–—•·"
 
 # Letters of other scripts, and other Latin letters, with the ordinary letter each looks like.
@@ -212,8 +212,12 @@ def consistent(text: str | None) -> tuple[str | None, bool]:
     return flat, found
 
 
-def needs_check(c: Column) -> Column:
-    return c.rlike(f"[^{PLAIN}]")
+_UNPLAIN = re.compile(f"[^{PLAIN}]")
+
+
+def form_in_worker(text: str) -> str:
+    """The consistent form, for functions that hold the text already."""
+    return consistent(text)[0] if _UNPLAIN.search(text) else text
 
 
 _FORM = T.StructType([T.StructField("form", T.StringType()), T.StructField("disguised", T.BooleanType())])
@@ -221,7 +225,12 @@ _FORM = T.StructType([T.StructField("form", T.StringType()), T.StructField("disg
 
 @F.pandas_udf(_FORM)
 def _form(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([consistent(t) if t is not None else (None, False) for t in texts], columns=["form", "disguised"])
+    """The form where it differs from the value, so that only such values travel back, and whether the value was disguised."""
+    rows = []
+    for t in texts:
+        form, hit = consistent(t) if t is not None and _UNPLAIN.search(t) else (t, False)
+        rows.append((None if form == t else form, hit))
+    return pd.DataFrame(rows, columns=["form", "disguised"])
 
 
 def with_form(df: DataFrame, text: str, form: str = "form", disguised: str = "disguised") -> DataFrame:
@@ -230,10 +239,10 @@ def with_form(df: DataFrame, text: str, form: str = "form", disguised: str = "di
     Null gives (null, false), '' gives ('', false). Repeated rows and other columns are kept; a column of the result's
     names is replaced. Form is idempotent.
     """
-    out = df.withColumn("_form", _form(F.when(needs_check(F.col(text)), F.col(text))))
-    return out.withColumns({form: F.coalesce("_form.form", F.col(text)), disguised: F.coalesce("_form.disguised", F.lit(False))}).drop("_form")
+    out = df.withColumn("_form", _form(F.col(text)))
+    return out.withColumns({form: F.coalesce("_form.form", F.col(text)), disguised: F.col("_form.disguised")}).drop("_form")
 
 
 def form_of(c: Column) -> Column:
     """The consistent form as a column expression."""
-    return F.coalesce(_form(F.when(needs_check(c), c))["form"], c)
+    return F.coalesce(_form(c)["form"], c)
