@@ -28,7 +28,7 @@ def fields(df: DataFrame, key: str, *names: str) -> DataFrame:
 
 def body(c: Column) -> Column:
     """Text after the two header lines; '' where there are fewer than three lines."""
-    return F.regexp_extract(c, r"\A[^\n]*\n[^\n]*\n([\s\S]*)\z", 1)
+    return F.coalesce(F.get(F.split(c, "\n", 3), F.lit(2)), F.lit(""))
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:
