@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from kervan.functions import guard
 from kervan.functions.guard import GuardPolicy
 from kervan.functions.text import chunk_body, quantities, strip, unsupported
-from kervan.functions.udfs import casefold_udf
+from kervan.functions.udfs import casefold_all_udf, casefold_udf
+from kervan.operators.models import loaded, model_key
 
 ChatFunction = Callable[[Sequence[dict]], str]
 ROLES = ("system", "user", "assistant")
@@ -34,8 +35,8 @@ def render_context(hits: Column) -> Column:
 
     def block(h: Column, i: Column) -> Column:
         return F.concat(
-            F.lit("[KAYNAK "), (i + 1).cast("string"), F.lit("]\nİlaç: "), shown(h["medicine_name"]), F.lit("\nKategori: "), shown(h["chunk_type"]),
-            F.lit("\nMetin: "), F.coalesce(h["chunk_text"], F.lit("")), F.lit("\nKaynak: "), shown(h["source_name"]),
+            F.lit(guard.BLOCK_HEAD), (i + 1).cast("string"), F.lit("]\n" + guard.BLOCK_NAME), shown(h["medicine_name"]), F.lit("\n" + guard.BLOCK_KIND), shown(h["chunk_type"]),
+            F.lit("\n" + guard.BLOCK_TEXT), F.coalesce(h["chunk_text"], F.lit("")), F.lit("\n" + guard.BLOCK_SOURCE), shown(h["source_name"]),
         )
 
     return F.array_join(F.transform(hits, block), "\n\n")
@@ -56,18 +57,16 @@ def has_critical(hits: Column, policy: GuardPolicy = GuardPolicy()) -> Column:
 
 def has_overlap(hits: Column) -> Column:
     """Whether two hits share medicine and category, in any case of letters."""
-    keys = F.transform(hits, lambda h: F.struct(F.lower(F.coalesce(h["medicine_name"], F.lit(""))), F.lower(F.coalesce(h["chunk_type"], F.lit("")))))
+    keys = casefold_all_udf(F.transform(hits, lambda h: F.concat_ws("\x1f", F.coalesce(h["medicine_name"], F.lit("")), F.coalesce(h["chunk_type"], F.lit("")))))
     return F.size(keys) > F.size(F.array_distinct(keys))
 
 
 def safety_notes(hits: Column, policy: GuardPolicy = GuardPolicy()) -> Column:
     def yes(c: Column) -> Column:
-        return F.when(c, F.lit("EVET")).otherwise(F.lit("HAYIR"))
+        return F.when(c, F.lit(guard.YES)).otherwise(F.lit(guard.NO))
 
     return F.concat(
-        F.lit("Ciddi/acil uyarı içeren kaynak var: "), yes(has_critical(hits, policy)),
-        F.lit(".\nAynı ilaç ve kategoride karşılaştırılması gereken birden fazla kaynak var: "), yes(has_overlap(hits)),
-        F.lit(". Farklılık varsa bunu çelişki olarak açıkla; yoksa çelişki üretme."),
+        F.lit(guard.NOTE_CRITICAL), yes(has_critical(hits, policy)), F.lit(".\n" + guard.NOTE_OVERLAP), yes(has_overlap(hits)), F.lit(". " + guard.NOTE_CONFLICT),
     )
 
 
@@ -89,26 +88,43 @@ def valid_messages(messages: Column) -> Column:
     return F.coalesce((F.size(messages) > 0) & good, F.lit(False))
 
 
+def check_messages(messages: Sequence[dict]) -> list[dict]:
+    """The messages with their contents stripped; an unknown role, blank content or an empty list raises."""
+    if not messages:
+        raise ValueError("messages are needed")
+    for i, m in enumerate(messages):
+        if m.get("role") not in ROLES:
+            raise ValueError(f"message {i} has an unknown role")
+        if not isinstance(m.get("content"), str) or not m["content"].strip():
+            raise ValueError(f"message {i} is blank")
+    return [{"role": m["role"], "content": m["content"].strip()} for m in messages]
+
+
 def echo_chat(messages: Sequence[dict]) -> str:
     """Stand-in model: repeats the first source text of the prompt."""
-    prompt = messages[-1]["content"]
-    return prompt.split("\nMetin: ", 1)[1].split("\nKaynak: ", 1)[0] if "\nMetin: " in prompt else ""
+    prompt, (head, tail) = messages[-1]["content"], ("\n" + guard.BLOCK_TEXT, "\n" + guard.BLOCK_SOURCE)
+    return prompt.split(head, 1)[1].split(tail, 1)[0] if head in prompt else ""
 
 
-def run_chat(df: DataFrame, chat: ChatFunction, system: str) -> DataFrame:
-    """df (query_id, prompt) with the model's `reply`; called once per row, model state kept per worker."""
+def run_chat(df: DataFrame, load: Callable[[], ChatFunction], system: str, name: str = "chat") -> DataFrame:
+    """df (query_id, prompt) with the model's `reply`; called once per row with checked messages, the model loaded once per worker."""
+    key = model_key(name, load)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            replies = [chat([{"role": "system", "content": system}, {"role": "user", "content": p}]) for p in f["prompt"]]
+            given = [check_messages([{"role": "system", "content": system}, {"role": "user", "content": p}]) for p in f["prompt"]]
+            replies = [loaded(key, load)(m) for m in given]
             yield pd.DataFrame({"query_id": f["query_id"], "reply": replies})
 
     return df.select("query_id", "prompt").mapInPandas(batches, "query_id long, reply string")
 
 
-def answer(questions: DataFrame, hits: DataFrame, chat: ChatFunction = echo_chat, system: str = "", policy: GuardPolicy = GuardPolicy(), *, header_is_evidence: bool = False) -> DataFrame:
+def answer(questions: DataFrame, hits: DataFrame, chat: ChatFunction = echo_chat, system: str = guard.SYSTEM_PROMPT, policy: GuardPolicy = GuardPolicy(), *, header_is_evidence: bool = False, load: Callable[[], ChatFunction] | None = None, name: str = "chat", trace: bool = False) -> DataFrame:
     """(query_id, response, outcome) for every question with a query_text that isn't blank.
 
+    chat is the model itself; `load` makes it on the worker instead, once under `name`. trace adds model_called,
+    question, retrieved_context and prompt (null where the model wasn't asked).
+
     Without hits the answer is "not found", even for a personal request; a personal request with hits gets the
     refusal; neither reaches the model. A reply that is blank, or states a quantity the sources don't, becomes
     "not found". The warning prefix comes last, where a source is critical and the answer holds no urgency word.
@@ -120,7 +136,7 @@ def answer(questions: DataFrame, hits: DataFrame, chat: ChatFunction = echo_chat
     ask = q.filter((F.size("hits") > 0) & ~F.col("personal")).withColumn(
         "prompt", F.concat(F.lit("Retrieved context:\n"), render_context(F.col("hits")), F.lit("\n\n"), safety_notes(F.col("hits"), policy), F.lit("\n\nSoru: "), F.col("question"))
     )
-    replies = run_chat(ask, chat, system)
+    replies = run_chat(ask, load or (lambda: chat), system, name)
     text = F.transform("hits", lambda h: F.coalesce(h["chunk_text"], F.lit("")) if header_is_evidence else chunk_body(F.coalesce(h["chunk_text"], F.lit(""))))
     r = q.join(replies, "query_id", "left").withColumn("reply", F.coalesce(strip(F.col("reply")), F.lit("")))
     r = r.withColumns({"_said": casefold_udf("reply"), "_known": casefold_udf(F.array_join(text, "\n"))})
@@ -134,4 +150,8 @@ def answer(questions: DataFrame, hits: DataFrame, chat: ChatFunction = echo_chat
     r = r.withColumn("_base", base)
     warn = F.col("outcome").isin("answered", "rejected", "no_reply") & has_critical(F.col("hits"), policy) & ~guard.is_urgent(F.col("_base"), policy)
     final = F.when(warn, F.concat(F.lit(guard.WARNING_PREFIX + "\n\n"), F.col("_base"))).otherwise(F.col("_base"))
-    return r.select("query_id", finalise(final, F.col("hits")).alias("response"), "outcome")
+    out = r.withColumn("response", finalise(final, F.col("hits")))
+    if not trace:
+        return out.select("query_id", "response", "outcome")
+    called = F.col("outcome").isin("answered", "rejected", "no_reply").alias("model_called")
+    return out.join(ask.select("query_id", "prompt"), "query_id", "left").select("query_id", "response", "outcome", called, "question", render_context(F.col("hits")).alias("retrieved_context"), "prompt")

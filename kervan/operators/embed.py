@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kervan.operators.models import loaded, model_key
+
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
-_LOADED: dict = {}
 
 
 def hashing_embedder(dims: int = 64) -> Embedder:
@@ -31,6 +32,23 @@ def hashing_embedder(dims: int = 64) -> Embedder:
     return embed
 
 
+def letter_embedder() -> Embedder:
+    """Stand-in model that any engine can state: how often each of a to z occurs, and one for the text itself."""
+
+    def embed(texts: Sequence[str]) -> list[list[float]]:
+        return [[1.0, *(float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz")] for t in texts]
+
+    return embed
+
+
+def embed_one(text: str, load: Callable[[], Embedder], name: str) -> list[float]:
+    """The vector of one text, by the model this process holds."""
+    check_texts([text])
+    (vector,) = vectors = loaded(model_key(name, load), load)([text])
+    check_vectors(vectors, 1)
+    return [float(x) for x in vector]
+
+
 def check_texts(texts: Sequence[str]) -> None:
     """A bare string, a value that is no string, or a blank one raises; the message names its place."""
     if isinstance(texts, str):
@@ -52,16 +70,15 @@ def check_vectors(vectors: Sequence[Sequence[float]], expected: int) -> None:
 
 def embed_column(load: Callable[[], Embedder], name: str):
     """A column function text -> vector; `load` runs once per Python worker. Null texts give null."""
+    key = model_key(name, load)
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        if name not in _LOADED:
-            _LOADED[name] = load()
         given = texts.dropna()
         if given.empty:
             return pd.Series([None] * len(texts))
         check_texts(list(given))
-        vectors = _LOADED[name](list(given))
+        vectors = loaded(key, load)(list(given))
         check_vectors(vectors, len(given))
         return pd.Series([[float(x) for x in v] for v in vectors], index=given.index).reindex(texts.index).astype(object).where(texts.notna(), None)
 

@@ -43,10 +43,25 @@ def quarantine(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(ok), df.filter(~ok)
 
 
-def check_arguments(query: str, top_k: int, min_score: float) -> None:
-    if not isinstance(query, str) or not query.strip():
-        raise ValueError("query must be a non-blank text")
+def check_limits(top_k: int, min_score: float) -> None:
     if isinstance(top_k, bool) or not isinstance(top_k, int) or top_k < 1:
         raise ValueError("top_k must be a positive integer")
     if not (-1.0 <= min_score <= 1.0):
         raise ValueError("min_score must lie in [-1, 1]")
+
+
+def check_arguments(query: str, top_k: int, min_score: float) -> None:
+    """The same for one question given as a text."""
+    if not isinstance(query, str) or not query.strip():
+        raise ValueError("query must be a non-blank text")
+    check_limits(top_k, min_score)
+
+
+def ordered_chunks(chunks: DataFrame, medicines: DataFrame, medicine_id: int | None = None, chunk_type: str | None = None) -> DataFrame:
+    """The chunks of existing records with the record's name and source, by chunk_id, optionally of one record or category.
+
+    Filters are on the chunks' side, so they reach its scan; the sort is by range, each task its own.
+    """
+    shown = medicines.select("medicine_id", "medicine_name", "source_name", "source_reference")
+    rows = where_equal(chunks, medicine_id=medicine_id, chunk_type=chunk_type).join(shown, "medicine_id")
+    return rows.select("chunk_id", "medicine_id", "chunk_text", "chunk_type", "embedding", "embedding_model", "medicine_name", "source_name", "source_reference").orderBy("chunk_id")

@@ -15,17 +15,16 @@ def assign_ids(df: DataFrame, id_col: str, order: list[str], start: int) -> Data
     Rows are range-partitioned by the order; each partition numbers its own rows after the sum of the earlier
     partitions' counts. The one collected value per partition is its count. The order must be total.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, start
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    if not counts:
-        return placed.drop("_part").withColumn(id_col, F.lit(None).cast("long"))
-    offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
+    before, total = [], start
+    for r in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        before.append((r["_part"], total))
+        total += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(before, "_part int, _before long"))  # one row per partition
     w = Window.partitionBy("_part").orderBy(*order)
-    return placed.withColumn(id_col, (F.element_at(offsets, F.col("_part")) + F.row_number().over(w)).cast("long")).drop("_part")
+    return placed.join(offsets, "_part").withColumn(id_col, F.col("_before") + F.row_number().over(w)).drop("_part", "_before")
 
 
 def _key(keys: list[str], folded: str | None) -> list[Column]:
@@ -85,16 +84,31 @@ def cascade(children: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
     return children.join(parents.select(parent), parent, "left_semi")
 
 
+def positions(df: DataFrame, parent: str, order: str, position: str, slots: int | None = None) -> DataFrame:
+    """df with the place of each row among its parent's, from 0, in the given order, which is total within a parent.
+
+    Rows are range-partitioned by (parent, order), so that a parent with a third of all rows is spread over tasks;
+    each row is counted within its task, after the sum of its parent's rows in the tasks before.
+    """
+    n = slots or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, parent, order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(parent, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(parent).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).filter("_before > 0").select(parent, "_part", "_before")  # parents that lie in several tasks only
+    own = F.row_number().over(Window.partitionBy(parent, "_part").orderBy(order)) - 1
+    return placed.withColumn("_own", own).join(F.broadcast(starts), [parent, "_part"], "left").withColumn(position, F.coalesce("_before", F.lit(0)) + F.col("_own")).drop("_part", "_own", "_before")
+
+
 def current_parents(stored: DataFrame, new: DataFrame, parent: str, model: str, order: str = "chunk_id", position: str = "pos") -> DataFrame:
     """Per parent of `new`: whether its stored chunks already are the new ones, in order, all embedded by `model`.
 
-    Both sides are reduced to (position, text, type) rows and joined on (parent, position): no list per parent is built.
+    Both sides are reduced to (position, text, type) rows and joined on (parent, position): no list per parent is
+    built, and no task holds all rows of one parent.
     """
-    w = Window.partitionBy(parent).orderBy(order)
-    old = stored.join(new.select(parent).distinct(), parent, "left_semi").select(
-        parent, (F.row_number().over(w) - 1).alias(position), F.col("chunk_text").alias("_text"), F.col("chunk_type").alias("_type"),
-        F.coalesce((F.size("embedding") > 0) & (F.col("embedding_model") == model), F.lit(False)).alias("_fresh"),
+    mine = stored.join(new.select(parent).distinct(), parent, "left_semi").select(
+        parent, order, F.col("chunk_text").alias("_text"), F.col("chunk_type").alias("_type"), F.coalesce((F.size("embedding") > 0) & (F.col("embedding_model") == model), F.lit(False)).alias("_fresh")
     )
+    old = positions(mine, parent, order, position).drop(order)
     same = F.col("chunk_text").eqNullSafe(F.col("_text")) & F.col("chunk_type").eqNullSafe(F.col("_type")) & F.coalesce("_fresh", F.lit(False))
     return new.select(parent, position, "chunk_text", "chunk_type").join(old, [parent, position], "full").groupBy(parent).agg(F.bool_and(same).alias("is_current"))
 

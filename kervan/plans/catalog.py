@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kervan.config import EngineConfig
 from kervan.functions import guard, text, vector
+from kervan.functions.udfs import casefold_udf
 from kervan.operators import answer as ans
 from kervan.operators import filters, retrieve, tables
+from kervan.operators.embed import embed, letter_embedder
 from kervan.operators.ingest import prepare, section_chunks
 from kervan.operators.names import named_in
 from kervan.schema import SECTION_FIELDS, SECTIONS
@@ -109,9 +111,8 @@ def text_pack_chunks(spark, d):
 def change_detect(spark, d):
     """Stored chunks against the same ones, where those that mention a dose line were edited."""
     c = read(spark, d, "document_chunks")
-    w = Window.partitionBy("medicine_id").orderBy("chunk_id")
     edited = F.when(F.contains("chunk_text", F.lit("1.25 g")), F.concat("chunk_text", F.lit("!"))).otherwise(F.col("chunk_text"))
-    new = c.select("medicine_id", (F.row_number().over(w) - 1).alias("pos"), edited.alias("chunk_text"), "chunk_type")
+    new = tables.positions(c.select("chunk_id", "medicine_id", edited.alias("chunk_text"), "chunk_type"), "medicine_id", "chunk_id", "pos").drop("chunk_id")
     return tables.current_parents(c, new, "medicine_id", MODEL).select("medicine_id", F.coalesce("is_current", F.lit(False)).alias("is_current"))
 
 
@@ -128,10 +129,11 @@ def embed_json_roundtrip(spark, d):
 
 
 def embed_json_invalid(spark, d):
-    """Texts of events' payloads and bad literals as vectors: all invalid ones come back null."""
-    bad = ["[1,2.5]", "[]", '[1,"x"]', '["NaN"]', "[NaN]", "[true]", "[1,null]", "nope", '{"a":1}', "[1e400]"]
-    rows = spark.createDataFrame(list(enumerate(bad)), "id int, s string")
-    return rows.select("id", vector.from_json_text(F.col("s")).isNotNull().alias("is_vector"))
+    """Which texts are vectors: the payloads of all events, and every stored vector as it would be typed, damaged ones included."""
+    events = read(spark, d, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("props").alias("s"))
+    typed = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ","), F.lit("]"))
+    stored = read(spark, d, "document_chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), typed.alias("s"))
+    return events.unionByName(stored).select("kind", "id", vector.from_json_text(F.col("s")).isNotNull().alias("is_vector"))
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -149,10 +151,9 @@ def _as_store(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def cosine_pairs(spark, d):
     queries, chunks, _ = _as_store(spark, d)
-    rows = queries.select("query_id", "query_vec").orderBy("query_id").toLocalIterator()
     out = None
-    for block in retrieve.blocks(rows):
-        part = retrieve.score_block(chunks.select("chunk_id", "embedding", F.lit(None).cast("array<bigint>").alias("named")), [r[0] for r in block], np.array([r[1] for r in block]), None, 0.35, 0.0)
+    for block in retrieve.blocks(queries.select("query_id", "query_vec").orderBy("query_id").toLocalIterator()):
+        part = retrieve.score(chunks, [r["query_id"] for r in block], np.array([r["query_vec"] for r in block]), None, 0.35, 0.0)
         out = part if out is None else out.unionByName(part)
     return out.select("query_id", "chunk_id", F.round("sim", 6).alias("sim"))
 
@@ -167,14 +168,50 @@ def topk_boosted(spark, d):
     return retrieve.top_chunks(queries, chunks, medicines, min_score=0.0).select("query_id", "rank", "chunk_id", F.round("similarity_score", 6).alias("sim"), F.round("rank_score", 6).alias("score"))
 
 
+#: Questions rank by meaning alone here, and some find nothing.
+ASK = EngineConfig(embedding_model="letters", name_boost=0.0, min_score=0.88)
+
+
+def _questions(spark, d) -> DataFrame:
+    """Every text that users wrote in the chats, once, by the first message that holds it."""
+    chat = read(spark, d, "chat_messages").filter((F.col("role") == "user") & (text.strip(F.col("content")) != ""))
+    first = chat.groupBy("content").agg(F.min(F.struct("conv_id", "turn")).alias("at"))
+    return first.select((F.col("at.conv_id") * 1000 + F.col("at.turn")).alias("query_id"), F.col("content").alias("query_text"))
+
+
+def _hits(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The chats' questions, and their hits in the whole store, embedded anew by the model that counts letters."""
+    q, c = _questions(spark, d), spread(read(spark, d, "document_chunks").select("chunk_id", "medicine_id", "chunk_type", "chunk_text"))
+    return q, retrieve.retrieve(q, embed(c, "chunk_text", letter_embedder, ASK.embedding_model), read(spark, d, "medicines"), letter_embedder, ASK)
+
+
 def retrieve_chunks(spark, d):
-    """Every 50th usable chunk as a question (its medicine's name, its own vector) against all chunks."""
+    """Questions as texts, embedded, against all chunks."""
+    return _hits(spark, d)[1].select("query_id", "rank", "chunk_id", "medicine_name", "chunk_type", "source_name", F.md5("chunk_text").alias("digest"), F.round("similarity_score", 6).alias("sim"))
+
+
+def retrieve_named(spark, d):
+    """Every 50th usable chunk as a question (its medicine's name, its own vector) against all chunks, named records first."""
     c, m = read(spark, d, "document_chunks"), read(spark, d, "medicines")
     own = c.filter((F.col("chunk_id") % 50 == 0) & vector.is_usable(F.col("embedding"), F.col("embedding_model"), MODEL, DIMS))
     q = own.join(m.select("medicine_id", "medicine_name"), "medicine_id").select(F.col("chunk_id").alias("query_id"), F.col("medicine_name").alias("query_text"), F.col("embedding").alias("query_vec"))
     return retrieve.top_chunks(q, c, m, EngineConfig()).select("query_id", "rank", "chunk_id", F.round("similarity_score", 6).alias("sim"), F.round("rank_score", 6).alias("score"))
 
 
+def retrieve_unnamed(spark, d):
+    """The same by the vectors alone: models, lengths and damage of the stored vectors decide what may be a hit."""
+    c, m = read(spark, d, "document_chunks"), read(spark, d, "medicines")
+    own = c.filter((F.col("chunk_id") % 50 == 0) & vector.is_usable(F.col("embedding"), F.col("embedding_model"), MODEL, DIMS))
+    q = own.select(F.col("chunk_id").alias("query_id"), F.lit(None).cast("string").alias("query_text"), F.col("embedding").alias("query_vec"))
+    return retrieve.top_chunks(q, c, m, EngineConfig()).select("query_id", "rank", "chunk_id", F.round("similarity_score", 6).alias("sim"))
+
+
+def ordered_scan(spark, d):
+    """Every chunk with its record's name and source, in order."""
+    rows = filters.ordered_chunks(read(spark, d, "document_chunks"), read(spark, d, "medicines"))
+    return rows.select("chunk_id", "medicine_id", F.md5("chunk_text").alias("digest"), "chunk_type", F.coalesce(F.size("embedding"), F.lit(-1)).alias("n"), "embedding_model", "medicine_name", "source_name", "source_reference")
+
+
 def stale_filter_trace(spark, d):
     return retrieve.trace(read(spark, d, "document_chunks"), read(spark, d, "medicines"), MODEL)
 
@@ -193,27 +230,25 @@ def name_match(spark, d):
 
 def name_match_chat(spark, d):
     """Which medicines the user messages of the chats name."""
-    chat = read(spark, d, "chat_messages").filter(F.col("role") == "user").groupBy("content").agg(F.min(F.struct("conv_id", "turn")).alias("at"))
-    q = chat.select((F.col("at.conv_id") * 1000 + F.col("at.turn")).alias("query_id"), F.col("content").alias("query_text"))
-    return named_in(q, read(spark, d, "medicines"), "query_id", "query_text", "medicine_id", "medicine_name")
+    return named_in(_questions(spark, d), read(spark, d, "medicines"), "query_id", "query_text", "medicine_id", "medicine_name")
 
 
 def quantity_extract(spark, d):
     docs = spread(read(spark, d, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.explode(text.quantities(F.lower("text"))).alias("quantity")).groupBy("doc_id", "quantity").agg(F.count("*").alias("n"))
+    return docs.select("doc_id", F.explode(text.quantities(casefold_udf("text"))).alias("quantity")).groupBy("doc_id", "quantity").agg(F.count("*").alias("n"))
 
 
 def quantity_unsupported(spark, d):
     """Quantities of assistant turns that their question didn't state: set difference over (number, unit)."""
     chat = read(spark, d, "chat_messages").groupBy("conv_id", "turn", "role").agg(F.min("content").alias("content"))
-    found = chat.select("conv_id", "turn", "role", F.explode(F.array_distinct(text.quantities(F.lower("content")))).alias("quantity"))
+    found = chat.select("conv_id", "turn", "role", F.explode(F.array_distinct(text.quantities(casefold_udf("content")))).alias("quantity"))
     answers = found.filter(F.col("role") == "assistant").select("conv_id", "turn", "quantity")
     asked = found.filter(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), "quantity")
     return answers.join(asked, ["conv_id", "turn", "quantity"], "left_anti")
 
 
 def guard_classify(spark, d):
-    chat = read(spark, d, "chat_messages").select("conv_id", "turn", "received_at", F.lower("content").alias("t"), "content")
+    chat = read(spark, d, "chat_messages").select("conv_id", "turn", "received_at", casefold_udf("content").alias("t"), "content")
     return chat.select("conv_id", "turn", "received_at", guard.is_personal(F.col("t")).alias("personal"), guard.is_urgent(F.col("content")).alias("urgent"))
 
 
@@ -222,32 +257,40 @@ def critical_flag(spark, d):
     return c.groupBy("medicine_id").agg(F.bool_or(guard.is_critical_source(F.col("chunk_type"), F.col("chunk_text"))).alias("critical"))
 
 
+def _collected(spark, d) -> DataFrame:
+    return ans.collect_hits(_hits(spark, d)[1])
+
+
 def overlap_flag(spark, d):
-    c = read(spark, d, "document_chunks")
-    return c.groupBy("medicine_id", "chunk_type").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    """Whether two hits of a question share medicine and category."""
+    return _collected(spark, d).select("query_id", ans.has_overlap(F.col("hits")).alias("overlap"))
 
 
 def source_distinct(spark, d):
-    docs = read(spark, d, "documents").select(F.coalesce(F.nullif("lang", F.lit("")), F.lit(guard.UNSTATED)).alias("lang"), "source", "doc_id")
-    first = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("first_doc"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("first_doc")))
+    """The sources of each question's hits, each once in rank order."""
+    return _collected(spark, d).select("query_id", ans.source_line(F.col("hits")).alias("sources"))
 
 
-def _first_hits(spark, d) -> DataFrame:
-    c, m = read(spark, d, "document_chunks"), read(spark, d, "medicines")
-    w = Window.partitionBy("medicine_id").orderBy("chunk_id")
-    top = c.select("chunk_id", "medicine_id", "chunk_type", "chunk_text").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 5)
-    return top.join(m.select("medicine_id", "medicine_name", "source_name"), "medicine_id").withColumn("query_id", F.col("medicine_id"))
+def context_render(spark, d):
+    return _collected(spark, d).select("query_id", F.md5(ans.render_context(F.col("hits"))).alias("digest"))
 
 
-def context_render(spark, d):
-    h = ans.collect_hits(_first_hits(spark, d))
-    return h.select("query_id", F.md5(ans.render_context(F.col("hits"))).alias("digest"), ans.source_line(F.col("hits")).alias("sources"))
+def safety_notes(spark, d):
+    return _collected(spark, d).select("query_id", ans.safety_notes(F.col("hits")).alias("notes"))
 
 
 def general_first2(spark, d):
-    h = ans.collect_hits(_first_hits(spark, d))
-    return h.select("query_id", F.md5(F.array_join(ans.general_texts(F.col("hits")), "|")).alias("digest"))
+    return _collected(spark, d).select("query_id", F.md5(F.array_join(ans.general_texts(F.col("hits")), "|")).alias("digest"))
+
+
+def personal_answers(spark, d):
+    """What a personal request about each question's hits is told."""
+    return _collected(spark, d).select("query_id", F.md5(ans.personal_answer(F.col("hits"))).alias("digest"))
+
+
+def finalised(spark, d):
+    """Each question's first hit as a finished answer, with sources and disclaimer."""
+    return _collected(spark, d).select("query_id", F.md5(ans.finalise(F.element_at("hits", 1)["chunk_text"], F.col("hits"))).alias("digest"))
 
 
 def response_split(spark, d):
@@ -269,15 +312,14 @@ def ingest_bad_documents(spark, d):
 
 def ingest_chunks(spark, d):
     _, rows = prepare(read(spark, d, "raw_records"), strict=False)
-    return section_chunks(rows.select("record_id", "medicine_name", "rec"))
+    out = section_chunks(rows.select("record_id", "pos", "medicine_name", "rec"))
+    return out.select("record_id", "record_pos", "pos", "chunk_type", F.length("chunk_text").alias("n"), F.md5("chunk_text").alias("digest"))
 
 
 def answer_pipeline(spark, d):
-    """Questions about every 50th usable chunk, answered from the whole store by the stand-in model."""
-    c, m = read(spark, d, "document_chunks"), read(spark, d, "medicines")
-    own = c.filter((F.col("chunk_id") % 50 == 0) & vector.is_usable(F.col("embedding"), F.col("embedding_model"), MODEL, DIMS))
-    q = own.join(m.select("medicine_id", "medicine_name"), "medicine_id").select(F.col("chunk_id").alias("query_id"), F.concat("medicine_name", F.lit(" hakkında bilgi?")).alias("query_text"), F.col("embedding").alias("query_vec"))
-    return ans.answer(q, retrieve.top_chunks(q, c, m, EngineConfig()))
+    """The chats' questions, answered from the whole store by the stand-in model."""
+    q, hits = _hits(spark, d)
+    return ans.answer(q, hits).select("query_id", "outcome", F.md5("response").alias("digest"))
 
 
 QUERIES: dict[str, Query] = {
@@ -285,8 +327,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         topk_batch, stats_counts, chunk_parent_join, filter_optional, filter_no_terms, lookup_nocase, nullsafe_upsert_match, upsert_merge,
         replace_children, cascade_delete, assign_ids, alias_coalesce, section_unpivot, text_split_units, text_pack_chunks, change_detect,
-        vector_validity, embed_json_roundtrip, embed_json_invalid, cosine_pairs, topk_boosted, retrieve_chunks, stale_filter_trace,
-        embedding_dims, name_match, name_match_chat, quantity_extract, quantity_unsupported, guard_classify, critical_flag, overlap_flag,
-        source_distinct, context_render, general_first2, response_split, ingest_records, ingest_bad_documents, ingest_chunks, answer_pipeline,
+        vector_validity, embed_json_roundtrip, embed_json_invalid, cosine_pairs, topk_boosted, retrieve_chunks, retrieve_named, retrieve_unnamed, ordered_scan,
+        stale_filter_trace, embedding_dims, name_match, name_match_chat, quantity_extract, quantity_unsupported, guard_classify, critical_flag, overlap_flag,
+        source_distinct, context_render, safety_notes, general_first2, personal_answers, finalised, response_split, ingest_records, ingest_bad_documents, ingest_chunks, answer_pipeline,
     )
 }

@@ -21,6 +21,7 @@ def build_session(app: str = "kervan", master: str | None = None, shuffle_partit
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # a checkpoint goes when its table is no longer used
     )
     if master:
         builder = builder.master(master)

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +8,8 @@ from kervan.config import EngineConfig, env_flag
 from kervan.functions import guard
 from kervan.operators import answer as ans
 from kervan.operators import embed as emb
-from kervan.operators import filters, retrieve, tables
-from kervan.operators.ingest import ingest
+from kervan.operators import filters, models, retrieve, tables
+from kervan.operators.ingest import ingest, insert_chunk, save_form
 from kervan.operators.names import named_in
 from kervan.schema import CHUNKS, MEDICINES, migrate
 from kervan.sources import json_records as jr
@@ -213,3 +214,110 @@ def test_header_evidence(spark):
     say = lambda m: "10 mg alınır"
     assert ans.answer(q, hits, say).first().outcome == "rejected"
     assert ans.answer(q, hits, say, header_is_evidence=True).first().outcome == "answered"
+
+
+def test_text_questions(spark, scene):
+    """Questions as texts: the model makes their vectors; blank ones and bad limits raise; without candidates it isn't asked."""
+    meds, chunks = scene
+    model = lambda: lambda texts: [hot(0) for _ in texts]
+    q = spark.createDataFrame([(1, " alfa plus "), (2, "x")], "query_id long, query_text string")
+    got = retrieve.retrieve(q, chunks, meds, model).collect()
+    assert [(r.query_id, r.chunk_id, round(r.rank_score, 2)) for r in sorted(got)] == [(1, 1, 1.12), (2, 1, 1.0)]
+    failing = lambda: lambda texts: 1 / 0
+    assert retrieve.retrieve(q, chunks.filter("embedding is null"), meds, failing, EngineConfig()).count() == 0
+    for bad in ({"k": 0}, {"min_score": 2.0}):
+        with pytest.raises(ValueError):
+            retrieve.retrieve(q, chunks, meds, model, **bad)
+    with pytest.raises(Exception, match="blank"):
+        retrieve.retrieve(spark.createDataFrame([(1, "  ")], q.schema), chunks, meds, model).collect()
+    vec = retrieve.with_vectors(q, model, "trace-model")
+    t = {r.query_id: r for r in retrieve.query_trace(vec, retrieve.top_chunks(vec, chunks, meds), chunks, meds).collect()}[1]
+    assert (t.dimension, t.preview, t.chunks, t.stale, t.candidates, t.top_k) == (6, hot(0), 10, 1, 8, 5) and t.top_chunks[0].medicine_name == "ALFA 10 mg"
+    assert emb.embed_one("a", lambda: emb.hashing_embedder(4), "one") == emb.hashing_embedder(4)(["a"])[0]
+
+
+def test_many_queries_in_few_passes(spark, monkeypatch):
+    """Blocks of queries and passes give what one query at a time gives, names joined or sent."""
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(300, 4)), 1)  # with ties
+    meds = spark.createDataFrame([(i, f"MARKA{i} tablet", None) for i in range(7)], "medicine_id long, medicine_name string, source_name string")
+    chunks = spark.createDataFrame([(i, i % 8, "t", "usage", v[i].tolist(), None) for i in range(300)], CHUNKS)
+    q = spark.createDataFrame([(i, f"marka{i % 9} nedir", (v[i] + 0.01).tolist()) for i in range(40)], "query_id long, query_text string, query_vec array<double>")
+
+    def run():
+        return sorted(tuple(r) for r in retrieve.top_chunks(q, chunks, meds, min_score=0.0).select("query_id", "rank", "chunk_id", F.round("rank_score", 6)).collect())
+
+    want = run()
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    for i in (0, 17, 39):
+        a = (v[i] + 0.01) / np.linalg.norm(v[i] + 0.01)
+        s = [(round(float(u @ a), 12), j) for j, u in enumerate(unit) if j % 8 < 7 and np.any(v[j])]
+        best = sorted(((-(x + 0.12 * (j % 8 == i % 9)), -x, j) for x, j in s if x >= 0))[:5]
+        assert [c for qi, _, c, _ in want if qi == i] == [j for *_, j in best]
+    monkeypatch.setattr(retrieve, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(retrieve, "QUERY_BYTES", 8 * 4 * 15)
+    assert run() == want
+    monkeypatch.setattr(retrieve, "FEW_NAMES", 0)
+    monkeypatch.setattr(retrieve, "FEW_RECORDS", 0)
+    assert run() == want
+
+
+def test_ordered_scan(spark, scene):
+    meds, chunks = scene
+    rows = filters.ordered_chunks(chunks, meds.withColumn("source_reference", F.lit("r"))).collect()
+    assert [r.chunk_id for r in rows] == list(range(1, 11)) and len(rows[0]) == 9 and rows[0].medicine_name == "ALFA 10 mg"
+    assert [r.chunk_id for r in filters.ordered_chunks(chunks, meds.withColumn("source_reference", F.lit("r")), 1, "frequency").collect()] == [2]
+
+
+def test_chat_messages_and_models(spark, scene):
+    assert ans.check_messages([{"role": "user", "content": " a "}]) == [{"role": "user", "content": "a"}]
+    for bad in ([], [{"role": "robot", "content": "a"}], [{"role": "user", "content": " "}], [{"role": "user", "content": 1}]):
+        with pytest.raises(ValueError):
+            ans.check_messages(bad)
+    seen = []
+    model = type("Model", (), {"unload": lambda self: seen.append("gone")})()
+    assert models.loaded("m", lambda: model) is model and models.loaded("m", lambda: 1 / 0) is model
+    assert models.unload("m") == ["m"] and seen == ["gone"] and models.unload("m") == []
+    meds, chunks = scene
+    q = spark.createDataFrame([(7, "ALFA etkileri", hot(0)), (8, "yok", hot(5))], "query_id long, query_text string, query_vec array<double>")
+    hits = retrieve.top_chunks(q, chunks, meds)
+    got = {r.query_id: r for r in ans.answer(q, hits, load=lambda: ans.echo_chat, name="echo", trace=True).collect()}
+    assert got[7].model_called and got[7].prompt.startswith("Retrieved context:\n[KAYNAK 1]") and "Soru: ALFA etkileri" in got[7].prompt and got[7].question == "ALFA etkileri"
+    assert not got[8].model_called and got[8].prompt is None and got[8].retrieved_context == ""
+    with pytest.raises(Exception, match="blank"):
+        ans.answer(q, hits, system=" ").collect()
+
+
+def test_forms_and_single_chunks(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "db"))
+    calls = lambda: emb.hashing_embedder(8)
+    assert save_form(store, {"medicine_name": " ÖRNEK ", "warnings": "a", "usage_information": "b", "interactions": "c", "source_name": " "}, calls) == (1, 3)
+    assert save_form(store, {"medicine_name": "örnek"}, lambda: lambda texts: 1 / 0) == (2, 0)
+    before = json.loads((tmp_path / "db" / "CURRENT").read_text())["tables"]
+    assert insert_chunk(store, 2, " metin ", "usage", [1.0, 2]) == 4
+    after = json.loads((tmp_path / "db" / "CURRENT").read_text())["tables"]
+    assert after["medicines"] == before["medicines"]  # only the touched bucket was written
+    assert len(set(after["document_chunks"].values()) - set(before["document_chunks"].values())) == 1
+    row = store.table("document_chunks").filter("chunk_id = 4").first()
+    assert (row.chunk_text, row.embedding, row.embedding_model) == ("metin", [1.0, 2.0], EngineConfig().embedding_model)
+    assert insert_chunk(store, 2, "b", "usage") == 5 and store.table("document_chunks").filter("chunk_id = 5").first().embedding_model is None
+    for args in ((2, " ", "usage"), (2, "a", " "), (77, "a", "usage"), (2, "a", "usage", [float("nan")])):
+        with pytest.raises(ValueError):
+            insert_chunk(store, *args)
+    kept = [p for p in (tmp_path / "db").rglob("_bucket=*")]
+    assert len(kept) <= 2 * sum(map(len, after.values()))  # replaced folders go with the next commit
+
+
+def test_positions_of_a_hot_parent(spark):
+    rows = [(1, i) for i in range(700)] + [(2 + i % 50, 1000 + i) for i in range(300)]
+    got = tables.positions(spark.createDataFrame(rows, "p long, o long"), "p", "o", "pos", 16).collect()
+    by = {}
+    for r in sorted(got):
+        by.setdefault(r.p, []).append(r.pos)
+    assert len(got) == 1000 and all(v == list(range(len(v))) for v in by.values())
+
+
+def test_overlap_in_any_case(spark):
+    hits = "array<struct<medicine_name:string,chunk_type:string>>"
+    rows = spark.createDataFrame([([("STRASSE", "usage"), ("straße", "USAGE")],), ([("a", "usage"), ("a", "dosage")],), ([(None, None), ("", "")],), ([],)], f"hits {hits}")
+    assert [r[0] for r in rows.select(ans.has_overlap(F.col("hits"))).collect()] == [True, False, True, False]
