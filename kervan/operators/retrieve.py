@@ -53,7 +53,7 @@ def score(chunks: DataFrame, ids: list[int], vectors: np.ndarray, k: int | None,
     """(query_id, chunk_id, sim, rank_score): each task's best k of its own chunks, per query; k None: all above min_score.
 
     chunks: chunk_id, medicine_id, embedding (valid), and, if names isn't given, named (array of the query ids whose
-    text names the chunk's record, or null). names: record id -> query ids. Chunks of another length or with a zero
+    text names the chunk's record, or null). names: record id -> query ids. sim has twelve decimals. Chunks of another length or with a zero
     norm are skipped.
     """
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -84,7 +84,7 @@ def score(chunks: DataFrame, ids: list[int], vectors: np.ndarray, k: int | None,
                 lifted = [(x, j) for j, r in enumerate(b.column("medicine_id").to_numpy()[rows].tolist()) for x in places.get(r, ())]
             lift = np.array(sorted(lifted), np.int64).reshape(-1, 2)
             for n, p in enumerate(parts):
-                sim = np.clip(q[p] @ m.T, -1.0, 1.0)
+                sim = np.round(np.clip(q[p] @ m.T, -1.0, 1.0), 12)  # what differs by the order of additions only is a tie
                 rank = np.where(sim >= min_score, sim, -np.inf)
                 lo, hi = np.searchsorted(lift[:, 0], [p.start, p.start + len(sim)])
                 rank[lift[lo:hi, 0] - p.start, lift[lo:hi, 1]] += boost

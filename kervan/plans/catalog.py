@@ -169,7 +169,7 @@ def topk_boosted(spark, d):
 
 
 #: Questions rank by meaning alone here, and some find nothing.
-ASK = EngineConfig(embedding_model="letters", name_boost=0.0, min_score=0.88)
+ASK = EngineConfig(embedding_model="letters", name_boost=0.0, min_score=0.8)
 
 
 def _questions(spark, d) -> DataFrame:

@@ -108,7 +108,7 @@ def _urgent(c: str) -> str:
 
 def casefold(c: str) -> str:
     """Lower case, with the letters that folding changes further and that the tables may hold."""
-    return f"replace(replace(replace(lower({c}), 'ß', 'ss'), 'ς', 'σ'), 'µ', 'μ')"
+    return f"replace(replace(replace(lower(replace({c}, 'İ', 'i' || chr(775))), 'ß', 'ss'), 'ς', 'σ'), 'µ', 'μ')"
 
 
 _LETTERS = "list_prepend(1.0::DOUBLE, list_transform(range(97, 123), lambda i: (length({0}) - length(replace({0}, chr(i::INT), '')))::DOUBLE))"
@@ -116,8 +116,8 @@ _QUESTIONS = f"questions AS (SELECT arg_min(conv_id * 1000 + turn, (conv_id, tur
 _HITS = f"""{_QUESTIONS},
     qv AS (SELECT query_id, {_LETTERS.format('t')} AS e FROM (SELECT query_id, {strip('content')} AS t FROM questions)),
     cv AS (SELECT chunk_id, medicine_id, chunk_type, chunk_text, {_LETTERS.format('chunk_text')} AS e FROM document_chunks WHERE medicine_id IN (SELECT medicine_id FROM medicines)),
-    sims AS (SELECT query_id, chunk_id, list_cosine_similarity(qv.e, cv.e) AS s FROM qv, cv),
-    best AS (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM sims WHERE s >= 0.88),
+    sims AS (SELECT query_id, chunk_id, round(list_cosine_similarity(qv.e, cv.e), 12) AS s FROM qv, cv),
+    best AS (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM sims WHERE s >= 0.8),
     hits AS (SELECT query_id, rank, chunk_id, s, m.medicine_name, c.chunk_type, c.chunk_text, m.source_name FROM best JOIN document_chunks c USING (chunk_id) JOIN medicines m USING (medicine_id) WHERE rank <= 5)"""
 
 
@@ -194,7 +194,22 @@ _CHUNKS = f"""WITH {_RECORDS}, sections AS (SELECT *, row_number() OVER (ORDER B
         'İlaç: ' || name || chr(10) || 'Kategori: ' || kind || chr(10) || c AS full_text FROM chunks JOIN sections USING (doc_id))
     SELECT record_id, record_pos, pos, chunk_type, length(full_text)::INT AS n, md5(full_text) AS digest FROM made"""
 
+_GENERIC = ", ".join(f"'{w}'" for w in ("ampul", "film", "flakon", "kapsul", "kapsül", "mg", "ml", "saşe", "surup", "şurup", "tablet"))
+
+
+def _match_key(c: str) -> str:
+    """Words of a text without case and marks, joined by a blank; DuckDB has no compatibility forms, so full-width letters stay as they are."""
+    flat = f"regexp_replace(strip_accents({casefold(c)}), '\\p{{M}}', '', 'g')"
+    return f"array_to_string(regexp_extract_all({flat}, '[\\p{{L}}\\p{{N}}_]+'), ' ')"
+
+
+_NAMED = f"""WITH {_QUESTIONS}, q AS (SELECT query_id, {_match_key('content')} AS q FROM questions),
+    r AS (SELECT medicine_id, n, list_filter(string_split(n, ' '), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\\p{{Nd}}+') AND w NOT IN ({_GENERIC}))[1] AS brand
+          FROM (SELECT medicine_id, {_match_key('medicine_name')} AS n FROM medicines) WHERE n <> '')
+    SELECT query_id, medicine_id FROM q, r WHERE contains(' ' || q || ' ', ' ' || n || ' ') OR coalesce(list_contains(string_split(q, ' '), brand), false)"""
+
 ORACLE: dict[str, str] = {
+    "name_match_chat": _NAMED,
     "stats_counts": "SELECT (SELECT count(*) FROM medicines) AS medicines, (SELECT count(*) FROM document_chunks) AS document_chunks",
     "chunk_parent_join": "SELECT chunk_id, medicine_id, medicine_name, source_name, source_reference, chunk_type, length(chunk_text)::INT AS n_chars, embedding_model FROM document_chunks JOIN medicines USING (medicine_id)",
     "filter_optional": "SELECT chunk_id, medicine_id, chunk_type FROM document_chunks WHERE medicine_id = 1 AND chunk_type = 'warnings'",
@@ -217,9 +232,9 @@ ORACLE: dict[str, str] = {
     "embed_json_invalid": f"""SELECT 'event' AS kind, event_id AS id, coalesce(json_type(props) = 'ARRAY', false) AS is_vector FROM events
         UNION ALL SELECT 'chunk', chunk_id, {_VALID} FROM document_chunks""",
     "cosine_pairs": f"WITH v AS ({_V}) SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.e, c.e), 6) AS sim FROM v q, v c WHERE q.vec_id % 50 = 0 AND list_cosine_similarity(q.e, c.e) >= 0.35",
-    "topk_batch": f"""WITH v AS ({_V}), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.e, c.e) AS s FROM v q, v c WHERE q.vec_id % 50 = 0),
+    "topk_batch": f"""WITH v AS ({_V}), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.e, c.e), 12) AS s FROM v q, v c WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM s) SELECT query_id, rank::INT AS rank, chunk_id, round(s, 6) AS sim FROM r WHERE rank <= 5""",
-    "topk_boosted": f"""WITH v AS ({_V}), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.e, c.e) AS s, CASE WHEN q.label = c.label THEN 0.12 ELSE 0 END AS b FROM v q, v c WHERE q.vec_id % 50 = 0),
+    "topk_boosted": f"""WITH v AS ({_V}), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.e, c.e), 12) AS s, CASE WHEN q.label = c.label THEN 0.12 ELSE 0 END AS b FROM v q, v c WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s + b DESC, s DESC, chunk_id) AS rank FROM s WHERE s >= 0) SELECT query_id, rank::INT AS rank, chunk_id, round(s, 6) AS sim, round(s + b, 6) AS score FROM r WHERE rank <= 5""",
     "stale_filter_trace": """SELECT count(*) AS chunks, count(embedding) AS embedded, count(*) FILTER (embedding IS NOT NULL AND coalesce(embedding_model, '') NOT IN ('', 'leaflet-embed-2')) AS stale,
         count(*) FILTER (embedding IS NOT NULL AND coalesce(embedding_model, '') IN ('', 'leaflet-embed-2')) AS candidates FROM document_chunks JOIN medicines USING (medicine_id)""",
@@ -244,7 +259,7 @@ ORACLE: dict[str, str] = {
     "retrieve_chunks": f"WITH {_HITS} SELECT query_id, rank::INT AS rank, chunk_id, medicine_name, chunk_type, source_name, md5(chunk_text) AS digest, round(s, 6) AS sim FROM hits",
     "retrieve_unnamed": f"""WITH v AS (SELECT chunk_id, embedding AS e, embedding_model AS m FROM document_chunks WHERE {_VALID} AND medicine_id IN (SELECT medicine_id FROM medicines)
             AND coalesce(embedding_model, '') IN ('', 'leaflet-embed-2') AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        s AS (SELECT q.chunk_id AS query_id, v.chunk_id, list_cosine_similarity(q.e, v.e) AS s FROM v q, v WHERE q.chunk_id % 50 = 0 AND q.m = 'leaflet-embed-2'),
+        s AS (SELECT q.chunk_id AS query_id, v.chunk_id, round(list_cosine_similarity(q.e, v.e), 12) AS s FROM v q, v WHERE q.chunk_id % 50 = 0 AND q.m = 'leaflet-embed-2'),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM s WHERE s >= 0.35) SELECT query_id, rank::INT AS rank, chunk_id, round(s, 6) AS sim FROM r WHERE rank <= 5""",
     "ordered_scan": """SELECT chunk_id, medicine_id, md5(chunk_text) AS digest, chunk_type, coalesce(len(embedding), -1)::INT AS n, embedding_model, medicine_name, source_name, source_reference
         FROM document_chunks JOIN medicines USING (medicine_id) ORDER BY chunk_id""",
