@@ -197,9 +197,14 @@ _CHUNKS = f"""WITH {_RECORDS}, sections AS (SELECT *, row_number() OVER (ORDER B
 _GENERIC = ", ".join(f"'{w}'" for w in ("ampul", "film", "flakon", "kapsul", "kapsül", "mg", "ml", "saşe", "surup", "şurup", "tablet"))
 
 
+_NARROW = "".join(map(chr, range(0x30, 0x3A))) + "".join(map(chr, range(0x61, 0x7B)))
+_WIDE = "".join(chr(ord(x) + 0xFEE0) for x in _NARROW)
+
+
 def _match_key(c: str) -> str:
-    """Words of a text without case and marks, joined by a blank; DuckDB has no compatibility forms, so full-width letters stay as they are."""
-    flat = f"regexp_replace(strip_accents({casefold(c)}), '\\p{{M}}', '', 'g')"
+    """Words of a text without case and marks, joined by a blank; of the compatibility forms, which DuckDB lacks, those that the tables hold."""
+    plain = f"replace(replace(translate({casefold(c)}, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), '㎎', 'mg')"
+    flat = f"regexp_replace(strip_accents({plain}), '\\p{{M}}', '', 'g')"
     return f"array_to_string(regexp_extract_all({flat}, '[\\p{{L}}\\p{{N}}_]+'), ' ')"
 
 

@@ -8,37 +8,37 @@ from kervan.functions import text, vector
 from kervan.functions.udfs import as_text, match_key, parse_document
 
 
-def reference_split(value: str, limit: int) -> list[str]:
-    """Plain-Python statement of the splitting rule."""
-    t = (value or "").strip()
-    if not t:
-        return []
-    if len(t) <= limit:
-        return [t]
-    units = []
-    for p in [p.strip() for p in re.split(r"\n\s*\n", t) if p.strip()]:
-        lines = [p] if len(p) <= limit else [x.strip() for x in p.splitlines() if x.strip()]
-        for x in lines:
-            units += [x] if len(x) <= limit else [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-ZÇĞİÖŞÜ0-9])", x) if s.strip()]
-    out, cur = [], ""
-    for u in units:
-        sep = "" if not cur else "\n\n" if "\n" in u or "\n" in cur else " "
-        if cur and len(cur + sep + u) > limit:
-            out, cur = [*out, cur], u
-        else:
-            cur = cur + sep + u
-    return [*out, cur] if cur else out
-
-
-def test_split_matches_plain_python(spark):
+A, B, C = "a" * 30, "b" * 30, "c" * 50
+SPLITS = {
+    None: [], "": [], " \n ": [], f"  {A} ": [A],
+    f"{A}\n\n{B}\n \n{C}": [f"{A} {B}", C],  # paragraphs, packed in order while they fit
+    f"{A}\n{B}\n\n{C}": [f"{A}\n{B}", C],  # a paragraph that fits keeps its lines
+    f"{A}\nx\n\n{B}\n\n{C}": [f"{A}\nx\n\n{B}", C],  # a blank line where either side has lines
+    f"{A}\n{B}\r\n{C}": [f"{A} {B}", C],  # a paragraph that doesn't fit falls into lines
+    f"İlk {A}. Sonra {B}! 3 {C}? Çok.": [f"İlk {A}. Sonra {B}!", f"3 {C}? Çok."],  # a line that doesn't fit falls into sentences
+    f"Doz {A}. ve {B}. {C}": [f"Doz {A}. ve {B}. {C}"],  # a small letter begins no sentence
+    f"{'x' * 130} {A}": [f"{'x' * 130} {A}"], f"{'x' * 130}. {A.upper()}": [f"{'x' * 130}.", A.upper()],  # a sentence is never cut
+}
+
+
+def test_split_cases(spark):
+    rows = spark.createDataFrame(list(enumerate(SPLITS)), "i int, t string").select("i", text.split_text(F.col("t"), 100).alias("c")).collect()
+    want = list(SPLITS.values())
+    for r in rows:
+        assert r.c == want[r.i], (list(SPLITS)[r.i], r.c)
+
+
+def test_split_loses_nothing(spark):
+    """Whatever the text: all its letters come out, in order; pieces keep the limit unless they are one sentence; none is blank."""
     rng = random.Random(7)
-    words = ["Doz", "2.5 mg", "verilir.", "İlk", "gün!", "mi?", "\n", "\n\n", "\n \n", "ölçek", "\t", "Şurup", "x" * 60, " ", " ", "3. gün"]
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 120))) for _ in range(200)] + ["", " ", None, "a" * 5000]
+    words = ["Doz", "2.5 mg", "verilir.", "İlk", "gün!", "mi?", "\n", "\n\n", "\n \n", "ölçek", "\t", "Şurup", "x" * 60, " ", "3. gün"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 120))) for _ in range(200)] + ["a" * 5000]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for limit in (100, 240):
-        got = {r.i: r.c for r in rows.select("i", text.split_text(F.col("t"), limit).alias("c")).collect()}
-        for i, t in enumerate(texts):
-            assert got[i] == reference_split(t, limit), (limit, t)
+        for r in rows.select("t", text.split_text(F.col("t"), limit).alias("c")).collect():
+            assert "".join("".join(r.c).split()) == "".join(r.t.split())
+            assert all(p == p.strip() != "" for p in r.c)
+            assert all(len(p) <= limit or not re.search(r"[.!?]\s+[A-ZÇĞİÖŞÜ0-9]|\n", p) for p in r.c)
 
 
 def test_sentence_never_cut(spark):
