@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from kervan.config import EngineConfig
 from kervan.functions import vector
 from kervan.functions.text import strip
-from kervan.operators.embed import Embedder, embed_column
-from kervan.operators.filters import check_limits, current_model, is_stale, require
+from kervan.operators.embed import Embedder, embed_column, embed_one
+from kervan.operators.filters import check_arguments, check_limits, current_model, is_stale, require
 from kervan.operators.names import named_in
 
 #: Bytes of query vectors that travel at once; more queries take another pass. Queries in one matrix product.
@@ -173,6 +173,15 @@ def retrieve(queries: DataFrame, chunks: DataFrame, medicines: DataFrame, load:
     return top_chunks(asked, chunks, medicines, config, k=k, min_score=min_score)
 
 
+def retrieve_one(query: str, chunks: DataFrame, medicines: DataFrame, load: Callable[[], Embedder], config: EngineConfig = EngineConfig(), *, k: int | None = None, min_score: float | None = None) -> DataFrame:
+    """The hits of one question, as retrieve gives them with query_id 0; its vector is made in this process. Arguments are checked at once."""
+    check_arguments(query, config.top_k if k is None else k, config.min_score if min_score is None else min_score)
+    spark, text = chunks.sparkSession, query.strip()
+    found = not candidates(chunks, medicines, config.embedding_model).isEmpty()
+    rows = [(0, text, embed_one(text, load, config.embedding_model))] if found else []
+    return top_chunks(spark.createDataFrame(rows, "query_id long, query_text string, query_vec array<double>"), chunks, medicines, config, k=k, min_score=min_score)
+
+
 def query_trace(queries: DataFrame, hits: DataFrame, chunks: DataFrame, medicines: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """One row per query (query_id, query_vec): what was asked and found, and the state of the store.
 

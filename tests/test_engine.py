@@ -230,6 +230,11 @@ def test_text_questions(spark, scene):
             retrieve.retrieve(q, chunks, meds, model, **bad)
     with pytest.raises(Exception, match="blank"):
         retrieve.retrieve(spark.createDataFrame([(1, "  ")], q.schema), chunks, meds, model).collect()
+    assert [r.chunk_id for r in retrieve.retrieve_one(" alfa ", chunks, meds, model, k=1).collect()] == [1]
+    assert retrieve.retrieve_one("a", chunks.limit(0), meds, failing).count() == 0
+    for bad in ((" ", {}), (None, {}), ("a", {"k": True})):
+        with pytest.raises(ValueError):
+            retrieve.retrieve_one(bad[0], chunks, meds, model, **bad[1])
     vec = retrieve.with_vectors(q, model, "trace-model")
     t = {r.query_id: r for r in retrieve.query_trace(vec, retrieve.top_chunks(vec, chunks, meds), chunks, meds).collect()}[1]
     assert (t.dimension, t.preview, t.chunks, t.stale, t.candidates, t.top_k) == (6, hot(0), 10, 1, 8, 5) and t.top_chunks[0].medicine_name == "ALFA 10 mg"
