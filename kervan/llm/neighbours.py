@@ -26,7 +26,7 @@ from kervan.session import cut
 #: Hash tables, buckets of each that a vector of a cell with one p-stable function is sent to, and their factor for each further function.
 TABLES, PROBES, GROWTH = 3, 2, 1.5
 #: Most directions of a table, and vectors one is meant for; vectors of the fitting sample for each direction, and at most.
-DIRECTIONS, PER_DIRECTION, PER_SAMPLE, SAMPLE = 16_384, 48, 16, 131_072
+DIRECTIONS, PER_DIRECTION, PER_SAMPLE, SAMPLE = 8_192, 48, 16, 131_072
 #: Vectors of a cell from which it gets a second p-stable function; vectors of a bucket from which it is compared in tiles.
 FULL, SPLIT = 8_192, 16_384
 #: Width of a p-stable function, in standard deviations of the residuals.
