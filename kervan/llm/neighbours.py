@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -262,9 +262,10 @@ def nearest(rows: DataFrame, k: int = 5, probes: int = PROBES, tables: int = TAB
         return _lists(ids, ids[places], sims)
 
     found = cut(_merged(reps.mapInArrow(send, "bucket long, id long, unit binary").groupBy("bucket").applyInArrow(search, _LIST), k))
-    short = reps.join(found.filter(F.size("near") >= min(k, total - 1)).select("id"), "id", "left_anti")
+    lone = cut(members.filter(F.col("id") == F.col("rep")).select("id").join(found.filter(F.size("near") >= min(k, total - 1)).select("id"), "id", "left_anti"))
+    short = iter(()) if lone.isEmpty() else reps.join(lone, "id", "left_semi").toLocalIterator()  # vectors move only where there is such a list
     more, asked = None, []
-    for r in (*short.toLocalIterator(), None):
+    for r in chain(short, (None,)):
         if r is not None:
             asked.append(r)
         if asked and (r is None or len(asked) == BLOCK_ROWS):
