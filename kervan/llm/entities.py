@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
+import zlib
 from functools import lru_cache
 
 import pandas as pd
@@ -224,76 +225,130 @@ def read_ingredient(part: str, salts: tuple[str, ...]) -> tuple[str, str]:
 
 
 class Ingredients:
-    """The known ingredients, ready to be looked up by any spelling. Their number is fixed and checked."""
+    """Known ingredients, ready to be looked up by any spelling: all of them, or those of one part of the bases."""
 
+    #: Ingredients that a worker holds at once.
     LIMIT = 100_000
 
-    def __init__(self, refs: list[tuple[int, str, str | None, str | None]]):
-        if len(refs) > self.LIMIT:
-            raise ValueError("too many known ingredients to hold in every worker")
-        self.exact: dict[tuple[str, str], int] = {}
+    def __init__(self, refs: list[tuple[int, str, str | None, str | None]], salts: tuple[str, ...]):
+        self.exact: dict[str, int] = {}
         self.near: dict[str, set[str]] = {}
         self.salts: dict[str, dict[str, int]] = {}
         self.names: dict[str, list[tuple[str, int]]] = {}
-        self.known = known_salts([fold(name) for _, name, _, _ in refs if name])
+        self.known = salts
         for i, name, common, code in refs:
-            kind, salt = read_ingredient(fold(name or ""), self.known)
-            base = sound(kind[5:])
+            base, salt = known_base(name, salts)
             self.salts.setdefault(base, {}).setdefault(salt, i)
             for w in without(base):
                 self.near.setdefault(w, set()).add(base)
             for text in (common, code):
                 if text:
-                    k, _ = read_ingredient(fold(text), self.known)
-                    self.exact[k, ""] = i
+                    k, _ = read_ingredient(fold(text), salts)
+                    self.exact[k] = i
                     if k.startswith("name:"):
                         word, number = k[5:].split(" ")
                         self.names.setdefault(number, []).append((word, i))
 
     @lru_cache(200_000)  # noqa: B019
-    def find(self, part: str) -> int | None:
-        """The ingredient a folded part names, or None. A salt that isn't known of its base names nothing; a base
-        typed without one names its only ingredient, if there is but one."""
+    def candidate(self, part: str) -> tuple[int, int, str, int | None] | None:
+        """(rank, edits, tie, ingredient or None) of what a folded part names best here, None where it names nothing; the
+        least is the best of several parts of the table. A salt that isn't known of its base names nothing; a base typed
+        without one names its only ingredient, if there is but one."""
         kind, salt = read_ingredient(part, self.known)
-        if (kind, "") in self.exact:
-            return self.exact[kind, ""]
+        if kind in self.exact:
+            return 0, -self.exact[kind], "", self.exact[kind]
         if kind.startswith("name:"):
             word, number = kind[5:].split(" ")
-            fits = sorted((d, i) for w, i in self.names.get(number, ()) if (d := distance(word, w, 2)) <= 2)
-            return fits[0][1] if fits else None
+            fits = min(((d, i) for w, i in self.names.get(number, ()) if (d := distance(word, w, 2)) <= 2), default=None)
+            return fits and (2, fits[0], f"{fits[1]:020}", fits[1])
         if not kind.startswith("base:"):
             return None
         base = sound(kind[5:])
         if base in self.salts:
-            return self._salted(base, salt)
+            return 1, 0, base, self._salted(base, salt)
         if len(base) < 5:
             return None
-        fits = sorted((d, b) for b in {b for w in without(base) for b in self.near.get(w, ())} if (d := distance(base, b, EDITS)) <= EDITS)
-        return self._salted(fits[0][1], salt) if fits else None
+        fits = min(((d, b) for b in {b for w in without(base) for b in self.near.get(w, ())} if (d := distance(base, b, EDITS)) <= EDITS), default=None)
+        return fits and (2, *fits, self._salted(fits[1], salt))
+
+    def find(self, part: str) -> int | None:
+        found = self.candidate(part)
+        return found[3] if found else None
 
     def _salted(self, base: str, salt: str) -> int | None:
         known = self.salts[base]
         return next(iter(known.values())) if not salt and len(known) == 1 else known.get(salt)
 
 
+def known_base(name: str | None, salts: tuple[str, ...]) -> tuple[str, str]:
+    """(base as it sounds, salt) of a known ingredient's name."""
+    kind, salt = read_ingredient(fold(name or ""), salts)
+    return sound(kind[5:]), salt
+
+
 _SEPARATOR = re.compile(r"[/,+;&|]|\bve\b|\band\b|\bund\b")
 
 
+def parts_of(value: str) -> list[str]:
+    """The folded parts of a value that may name an ingredient each."""
+    return [p.strip() for p in _SEPARATOR.split(fold(value)) if p.strip()]
+
+
 def link_ingredients(df: DataFrame, key: str, text: str, refs: DataFrame) -> DataFrame:
     """key, ingredient_id: one row per known ingredient a value names, however spelled; each once.
 
     refs: ingredient_id, ingredient_name, common_name, short_code. Null and blank values, and ingredients that aren't
-    known, give no row. The known ingredients are a table of bounded size, which every worker holds; values are
-    reduced to distinct ones before they are read.
+    known, give no row. Values are reduced to distinct ones before they are read. Up to Ingredients.LIMIT known
+    ingredients travel to the workers at once; more are looked up in as many passes as it takes, split by their bases,
+    and the best of all passes counts, which is what one pass over all would give.
     """
-    table = [tuple(r) for r in refs.select("ingredient_id", "ingredient_name", "common_name", "short_code").orderBy("ingredient_id").limit(Ingredients.LIMIT + 1).collect()]
-    known = df.sparkSession.sparkContext.broadcast(Ingredients(table))
+    spark = df.sparkSession
+    table = refs.select("ingredient_id", "ingredient_name", "common_name", "short_code")
+    passes = -(-max(1, table.count()) // Ingredients.LIMIT)
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_v")).filter(F.trim("_v") != "")
+    values = rows.groupBy("_v").agg(F.count("*").alias("_n")).select("_v")
 
-    @F.pandas_udf("array<bigint>")
-    def find(values: pd.Series) -> pd.Series:
-        k = known.value
-        return pd.Series([sorted({i for p in _SEPARATOR.split(fold(v)) if p.strip() and (i := k.find(p.strip())) is not None}) for v in values], dtype=object)
+    @F.pandas_udf(T.StringType())
+    def salt_word(names: pd.Series) -> pd.Series:
+        return pd.Series([next(iter(known_salts([fold(n)])), None) if n else None for n in names], dtype=object)
 
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_v")).filter(F.trim("_v") != "")
-    values = rows.groupBy("_v").agg(F.count("*").alias("_n")).select("_v", find("_v").alias("_ids"))
-    return rows.join(values, "_v").select(F.col("_key").alias(key), F.explode("_ids").alias("ingredient_id")).distinct()
+    salts = tuple(sorted(r[0] for r in table.select(salt_word("ingredient_name")).distinct().collect() if r[0]))  # words, not ingredients
+
+    @F.pandas_udf("bigint")
+    def pass_of(names: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(known_base(n, salts)[0].encode()) % passes for n in names])
+
+    def held(no: int):
+        mine = table if passes == 1 else table.filter(pass_of("ingredient_name") == no)
+        return spark.sparkContext.broadcast(Ingredients([tuple(r) for r in mine.orderBy("ingredient_id").collect()], salts))
+
+    if passes == 1:
+        known = held(0)
+
+        @F.pandas_udf("array<bigint>")
+        def find(values: pd.Series) -> pd.Series:
+            k = known.value
+            return pd.Series([sorted({i for p in parts_of(v) if (i := k.find(p)) is not None}) for v in values], dtype=object)
+
+        named = values.select("_v", find("_v").alias("_ids"))
+    else:
+
+        @F.pandas_udf("array<string>")
+        def cut_up(values: pd.Series) -> pd.Series:
+            return pd.Series([parts_of(v) for v in values], dtype=object)
+
+        asked = cut(values.select("_v", F.explode(cut_up("_v")).alias("_part")))
+        parts, found = cut(asked.select("_part").distinct()), None
+        for no in range(passes):
+            known = held(no)
+
+            @F.pandas_udf("struct<rank:int,edits:bigint,tie:string,id:bigint>")
+            def look(parts: pd.Series) -> pd.DataFrame:
+                k = known.value
+                return pd.DataFrame([k.candidate(p) or (None, None, None, None) for p in parts], columns=["rank", "edits", "tie", "id"]).astype(object)
+
+            best = cut(parts.select("_part", look("_part").alias("_c")).filter(F.col("_c.rank").isNotNull()))
+            found = best if found is None else found.unionByName(best)
+        chosen = found.groupBy("_part").agg(F.min("_c").alias("_c"))
+        named = asked.join(chosen, "_part").filter(F.col("_c.id").isNotNull()).groupBy("_v").agg(F.collect_set("_c.id").alias("_ids"))
+    return rows.join(named, "_v").select(F.col("_key").alias(key), F.explode("_ids").alias("ingredient_id")).distinct()

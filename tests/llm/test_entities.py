@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from kervan.llm import entities as E
 
 
@@ -35,7 +37,9 @@ def test_products(spark):
     assert E.resolve_names(df.limit(0), "id", "n").count() == 0
 
 
-def test_ingredients(spark):
+@pytest.mark.parametrize("limit", [100_000, 1])  # all known ingredients at once, and one or so at a time
+def test_ingredients(spark, monkeypatch, limit):
+    monkeypatch.setattr(E.Ingredients, "LIMIT", limit)
     refs = spark.createDataFrame(
         [(1, "fenmosartan asetat", None, "FNTN-369"), (2, "gemvimin sodyum", "tuz E86", None), (3, "gemvimin fosfat", None, None), (4, "Zinnebaprofen", "vitamin A6", None)],
         "ingredient_id long, ingredient_name string, common_name string, short_code string",
