@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(ingest(store, read_json_files(spark, a.directory), hashing_embedder, EngineConfig(max_chunk_chars=a.max_chars))))
     elif a.command == "smoke":
         config = EngineConfig(min_score=-1.0)
-        record = {"medicine_name": "DENEME 10 mg", "common_side_effects": "Baş ağrısı görülebilir.", "warnings": "Araç kullanmadan önce bekleyin.", "source_name": "deneme"}
+        record = {"medicine_name": "DENEME", "common_side_effects": "Baş ağrısı görülebilir.", "warnings": "Araç kullanmadan önce bekleyin.", "source_name": "deneme"}
         medicine_id, chunks = save_form(store, record, hashing_embedder, config)
         asked = spark.createDataFrame([(1, "DENEME yan etkileri nelerdir?")], "query_id long, query_text string")
         hits = retrieve.retrieve(asked, store.table("document_chunks"), store.table("medicines"), hashing_embedder, config)
