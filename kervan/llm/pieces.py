@@ -196,7 +196,8 @@ def _byte_table(data: bytes, low: int, begin: int, stop: int) -> tuple[list[int]
     """Boundaries as byte offsets of the file; bytes that continue a character are UNSAFE."""
     lead = next((i for i in range(min(4, len(data))) if data[i] & 0xC0 != 0x80), 0)
     text = data[lead:].decode("utf-8", "surrogateescape")
-    width = np.fromiter((1 if o < 0x80 or 0xD800 <= o < 0xE000 else 2 if o < 0x800 else 3 if o < 0x10000 else 4 for o in map(ord, text)), np.int64, len(text))
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = np.select([(code < 0x80) | (code >= 0xD800) & (code < 0xE000), code < 0x800, code < 0x10000], [1, 2, 3], 4)  # bytes that are no text count one
     offset = np.concatenate([[0], np.cumsum(width)]) + low + lead
     at, rank = boundaries(text, 0, len(text))
     at = offset[at]

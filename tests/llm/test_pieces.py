@@ -85,10 +85,10 @@ def test_ranges_give_what_one_worker_gives(spark):
 
 def test_files(spark, tmp_path):
     rng = random.Random(5)
-    data = random_text(rng, 3000).encode()
+    data = random_text(rng, 3000).encode() + b"\xff\xfe bad \xe2\x82 bytes. "
     (tmp_path / "a.txt").write_bytes(data)
     (tmp_path / "empty.txt").write_bytes(b"")
     rows = cut_files(spark, [str(tmp_path)], 200, 40, 1000).orderBy("piece_no").collect()
     assert b"".join(data[r.fresh_pos : r.end_pos] for r in rows) == data
     for r in rows:
-        assert r.end_pos - r.start_pos <= 200 and r.piece == data[r.start_pos : r.end_pos].decode()
+        assert r.end_pos - r.start_pos <= 200 and r.piece == data[r.start_pos : r.end_pos].decode("utf-8", "replace")
